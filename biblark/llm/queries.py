@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from biblark.llm import decontaminate, packing, quality, simhash, token_counts, vectors
+from biblark.llm import decontaminate, packing, pii, quality, simhash, token_counts, toxicity, vectors
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_pii": pii.op3_pii,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_embedding_near_dedup": vectors.op6_embedding_near_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
 }
 

@@ -197,15 +197,19 @@ def span_classifier(counts: list[tuple[str, str, int]], posterior: dict[str, flo
     return {(f, votes): float(v) for (f, votes, _), v in zip(counts, p)}
 
 
-def find_personal_data(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, base, added): arrays of (kind, start, end) per row of ``docs``."""
-    scratch = Scratch(spark, "pii")
-    seen = scratch.keep(detected(docs), "detected")
-    counts = [(r["features"], r["votes"], r["n"]) for r in seen.select(F.explode("found").alias("c")).groupBy("c.features", "c.votes").agg(F.count("*").alias("n")).orderBy("features", "votes").collect()]
+def chosen_candidates(seen: DataFrame, threshold: float = THRESHOLD) -> list[str]:
+    """Which combinations of features and votes count as personal data, learned from ``seen`` as a whole."""
+    counted = seen.select(F.explode("found").alias("c")).groupBy("c.features", "c.votes").agg(F.count("*").alias("n")).orderBy("features", "votes")
+    counts = [(r["features"], r["votes"], r["n"]) for r in counted.collect()]
     votes: dict[str, int] = reduce(lambda d, c: d | {c[1]: d.get(c[1], 0) + c[2]}, counts, {})
     posterior, _ = reliabilities(votes) if votes else ({}, None)
-    chosen = sorted(f"{f}|{v}" for (f, v), p in span_classifier(counts, posterior).items() if p >= threshold)
-    allowed = F.array(*map(F.lit, chosen)).cast("array<string>")
+    return sorted(f"{f}|{v}" for (f, v), p in span_classifier(counts, posterior).items() if p >= threshold)
+
+
+def find_personal_data(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, base, added): arrays of (kind, start, end) per row of ``docs``."""
+    seen = Scratch(spark, "pii").keep(detected(docs), "detected")
+    allowed = F.array(*map(F.lit, chosen_candidates(seen, threshold))).cast("array<string>")
     added = F.transform(F.filter("found", lambda c: F.array_contains(allowed, F.concat_ws("|", c["features"], c["votes"]))), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return seen.select("doc_id", "base", added.alias("added"))
 
@@ -216,29 +220,28 @@ def listed(spans, order: tuple[str, ...] = (*KINDS, *WIDE)):
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets. The found spans are joined to the
-    texts by row, so repeated ids keep their own spans."""
-    scratch = Scratch(spark, "redact")
-    rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    spans = find_personal_data(spark, rows.select(F.col("_row").alias("doc_id"), "text")).where("size(base) + size(added) > 0").select(F.col("doc_id").alias("_row"), F.concat("base", "added").alias("_spans"))
+def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; of overlapping spans the
+    first, then the longest, is replaced."""
+    allowed = frozenset(chosen_candidates(detected(docs), threshold))
 
-    def replace(text: pd.Series, spans: pd.Series) -> pd.Series:
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series) -> pd.Series:
         out = []
-        for t, found in zip(text, spans):
-            if t is not None and found is not None:
+        for t in texts:
+            if t:
+                base = base_spans(t)
+                added = [(k, s, e) for k, s, e, votes, features in candidates(t, base) if f"{features}|{votes}" in allowed]
                 parts, at = [], 0
-                for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= at:
-                        parts += [t[at : s["start"]], f"<{s['kind'].upper()}>"]
-                        at = s["end"]
+                for kind, start, end in sorted(base + added, key=lambda s: (s[1], -s[2])):
+                    if start >= at:
+                        parts += [t[at:start], f"<{kind.upper()}>"]
+                        at = end
                 t = "".join(parts) + t[at:]
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = rows.join(spans, "_row", "left")
-    masked = F.pandas_udf(replace, "string")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked("text", "_spans"))).select(*docs.columns)
+    return docs.withColumn("text", masked(F.col("text")))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,8 @@ WIDTH = 4
 CHUNK = 128
 SAMPLE = 3000
 SAMPLE_BYTES = 20_000
-EPOCHS = 6
+#: Texts that training sees, repeats included.
+SEEN = 18_000
 BLOCK = 1 << 17
 FOLDS = 5
 THRESHOLD = 0.3
@@ -134,10 +135,11 @@ class Network:
             g["again"][j] = (again[at + j] * d_best).sum(0)
         return g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.01, seed: int = 11) -> None:
+    def fit(self, texts: list[bytes], labels: np.ndarray, seen: int = SEEN, batch: int = 32, rate: float = 0.01, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        epochs = -(-seen // len(texts))
         step, total = 0, epochs * -(-len(texts) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(texts))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from biblark.llm import decontaminate, packing, pii, quality, simhash, token_counts, toxicity, vectors
+from biblark.llm import decontaminate, html_text, packing, pii, quality, simhash, token_counts, toxicity, vectors, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,6 +13,16 @@ QUERIES = {
     "op6_embedding_near_dedup": vectors.op6_embedding_near_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_warc": warc.op9_warc,
+    "op10_html_extraction": html_text.op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        f AS (SELECT h, min(page_id) AS m FROM p WHERE strlen(h) >= 100 GROUP BY h)
+        SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_digest,
+               CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN m <> page_id THEN m END AS refers_to
+        FROM p LEFT JOIN f USING (h)""",
+}

@@ -55,14 +55,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return sum(1 << i for i in np.flatnonzero(2 * total > len(begin)).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns to carry: the fingerprint as a signed 64-bit number."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), of(F.col("text")).alias("fp"))
+    return docs.select(F.col("doc_id").cast("long"), *carry, of(F.col("text")).alias("fp"))
 
 
 def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -171,19 +171,31 @@ def _runs(run: np.ndarray, fp: np.ndarray, radius: int, short: int = 24) -> dict
     return {"a": np.concatenate(ea).view(np.int64), "b": np.concatenate(eb).view(np.int64)}
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) per row; component_id is the smallest doc_id that links reach."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, root, component_id) and the columns to carry per row; component_id is the smallest
+    doc_id that links reach, root a fingerprint that names the component."""
     scratch = Scratch(spark, "simhash")
-    marks = scratch.keep(fingerprints(docs, shingle), "fingerprints")
+    marks = scratch.keep(fingerprints(docs, shingle, carry=carry), "fingerprints")
     distinct = scratch.keep(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links = near_links(spark, distinct, scratch, radius)
     roots = connected_components(links, scratch)
     rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
+    classes = rooted.join(least, "root").select("fp", "root", "component_id")
     return marks.join(classes, "fp")
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, of equal ids that of the least
+    text hash, of equal rows any one."""
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    found = near_duplicates(spark, hashed, carry=("_text_hash",))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("_text_hash").alias("_text_hash"))
+    first = first.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_h")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h"))
+    return hashed.join(first, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

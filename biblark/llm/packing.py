@@ -28,8 +28,8 @@ from biblark.llm.common import Scratch, table
 
 CAPACITY = 1024
 END_ID = 2
-#: Rows of one length that share a salt, on average, when a length is hot.
-ROWS_PER_SALT = 20_000
+#: Rows of one length that share a salt, on average.
+ROWS_PER_SALT = 500
 
 
 def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, paths: tuple[str, str] | None = None) -> DataFrame:
@@ -162,10 +162,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, depth: int = 3) -> DataFra
     for n, k in counts.items():
         histogram[n] = k
     at = slots(plan_packing(histogram, capacity, depth), capacity)
-    salts = max(1, -(-int(histogram.sum()) // ROWS_PER_SALT))
+    salts = np.maximum(1, -(-histogram // ROWS_PER_SALT)).tolist()
     before = np.cumsum(histogram) - histogram
 
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(F.lit(salts), F.col("length").cast("int"))))
     sums = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     bases = sums.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_base"))
     within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1

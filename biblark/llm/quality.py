@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblark.llm.common import table
@@ -175,8 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
     return network
 
 
-def score(docs: DataFrame, network: Network | None) -> DataFrame:
-    """Adds score and predicted to ``docs``."""
+def probability_column(network: Network | None) -> Column:
+    """The score of column text."""
 
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -192,7 +192,17 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
                 out.append(network.scores(group))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    scored = docs.withColumn("score", F.lit(0.5) if network is None else probability(F.col("text")))
+    return F.lit(0.5) if network is None else probability(F.col("text"))
+
+
+def good(docs: DataFrame, network: Network | None) -> DataFrame:
+    """The rows that the network takes; no column is added."""
+    return docs.where(probability_column(network) >= THRESHOLD)
+
+
+def score(docs: DataFrame, network: Network | None) -> DataFrame:
+    """Adds score and predicted to ``docs``."""
+    scored = docs.withColumn("score", probability_column(network))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

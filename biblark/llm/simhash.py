@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from biblark.llm.common import Forest, Scratch, connected_components, table
+from biblark.llm.common import Forest, Scratch, connected_components, fresh, table
 
 SHINGLE = 4
 SEED = 42
@@ -188,12 +188,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, of equal ids that of the least
     text hash, of equal rows any one."""
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    found = near_duplicates(spark, hashed, carry=("_text_hash",))
+    h, i, j = (fresh(docs, n) for n in ("_text_hash", "_first_id", "_first_hash"))
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    found = near_duplicates(spark, hashed.select("doc_id", "text", F.col(h).alias("_text_hash")), carry=("_text_hash",))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("_text_hash").alias("_text_hash"))
-    first = first.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_h")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h"))
-    return hashed.join(first, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    first = first.select(F.col("doc_id").alias(i), F.col("_text_hash").alias(j)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(j))
+    return hashed.join(first, same, "left_semi").dropDuplicates(["doc_id", h]).select(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

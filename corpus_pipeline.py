@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblark.llm import decontaminate, packing, pii, quality, simhash
-from biblark.llm.common import Scratch, table
+from biblark.llm.common import Scratch, fresh, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality network rejects."""
     network = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, network).where("predicted = 1").select(*docs.columns)
+    return quality.good(docs, network)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages."""
     leaks = decontaminate.contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
-    ids = leaks.select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    leak = fresh(docs, "_leak")
+    ids = leaks.select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(leak)), "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

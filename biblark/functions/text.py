@@ -325,6 +325,12 @@ def duration_text(ms: Column) -> Column:
     return F.when(ms < 1000, "<1s").when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
 
 
+def first_line(c: Column) -> Column:
+    """A title: the first line with more than marks and white space, without them; '' if none."""
+    lines = F.transform(F.split(c, "\n"), lambda l: F.regexp_replace(l, r"^[ #\t\r]+|[ #\t\r]+$", ""))
+    return F.coalesce(F.get(F.filter(lines, lambda l: l != ""), 0), F.lit(""))
+
+
 def embedding_text(title: Column, abstract: Column, fulltext: Column, most: int = 2000) -> Column:
     """Title, abstract and the beginning of the full text, one a line, missing ones left out."""
     part = lambda c: F.when(F.trim(c) != "", F.trim(c))

@@ -27,8 +27,8 @@ def postings(docs: DataFrame, key: str, column: str) -> DataFrame:
 def term_hits(docs: DataFrame, key: str, columns: list[str], query: list[str]) -> DataFrame:
     """(key, length, one count a query term) by one narrow pass: no explosion of texts into postings."""
     words = F.concat(*[terms(F.col(c)) for c in columns])
-    counted = docs.select(key, words.alias("_w")).select(key, F.size("_w").alias("length"), *[F.size(F.filter("_w", lambda w, q=q: w == q)).alias(f"tf{i}") for i, q in enumerate(query)])
-    return counted
+    times = lambda q: F.size(F.filter("_w", lambda w: w == q))
+    return docs.select(key, words.alias("_w")).select(key, F.size("_w").alias("length"), *[times(q).alias(f"tf{i}") for i, q in enumerate(query)])
 
 
 def match_all(docs: DataFrame, key: str, columns: list[str], query: list[str]) -> DataFrame:

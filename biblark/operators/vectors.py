@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biblark.operators.storage import checkpointed
+
 BLOCK = 4096
 
 
@@ -34,35 +34,34 @@ def normalized(rows) -> np.ndarray:
 
 
 def neighbours(vectors: DataFrame, key: str, column: str, k: int, floor: float, block: int = BLOCK) -> DataFrame:
-    """(src, dst, weight): each vector's k nearest others from ``floor`` on, exact. Queries are taken in blocks
-    of bounded size; a block is scored against all rows where they lie, each task returns its best k of a
-    query, and those few meet by query."""
-    spark = vectors.sparkSession
-    clean = vectors.where(F.size(column) > 0).select(key, column)
-    parts: DataFrame | None = None
-    rows = clean.toLocalIterator()
-    while held := [r for _, r in zip(range(block), rows)]:
-        ids = np.array([r[0] for r in held])
-        q = spark.sparkContext.broadcast(normalized([r[1] for r in held]))
-
-        def scan(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                own, x = batch[key].to_numpy(), normalized(batch[column])
-                for s in range(0, len(own), 2048):
-                    sims = np.round(q.value @ x[s : s + 2048].T, 6)
-                    sims[ids[:, None] == own[None, s : s + 2048]] = -2
-                    keep = min(k + 8, sims.shape[1])
-                    order = np.lexsort((np.broadcast_to(own[s : s + 2048], sims.shape), -sims), axis=1)[:, :keep]
-                    value = np.take_along_axis(sims, order, 1)
-                    a, b = np.nonzero(value >= floor)
-                    yield pd.DataFrame({"src": ids[a], "dst": own[s : s + 2048][order[a, b]], "weight": value[a, b]})
-
-        found = clean.mapInPandas(scan, "src long, dst long, weight double")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return spark.createDataFrame([], "src long, dst long, weight double")
+    """(src, dst, weight): each vector's k nearest others from ``floor`` on, exact. Rows fall into blocks of
+    about ``block``; every pair of blocks is a task of its own, which returns its best k of each vector, and
+    those few meet by vector. The work is the square of the rows by nature; memory is that of two blocks."""
+    clean = vectors.where(F.size(column) > 0).select(F.col(key).cast("long").alias("id"), F.col(column).alias("v"))
+    blocks = max(1, -(-clean.count() // block))
+    clean = clean.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    sides = clean.select("id", "v", F.lit(True).alias("asks"), F.col("own").alias("q"), every.alias("x")).unionByName(clean.select("id", "v", F.lit(False).alias("asks"), F.col("own").alias("x"), every.alias("q")))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["asks"].to_numpy(dtype=bool)
+        if asks.all() or not asks.any():
+            return pd.DataFrame({"src": [], "dst": [], "weight": []})
+        ids, x = group["id"].to_numpy(), normalized(group["v"])
+        src, dst = ids[asks], ids[~asks]
+        parts = []
+        for s in range(0, len(src), 512):
+            sims = np.round(x[asks][s : s + 512] @ x[~asks].T, 6)
+            sims[src[s : s + 512, None] == dst[None, :]] = -2
+            order = np.lexsort((np.broadcast_to(dst, sims.shape), -sims), axis=1)[:, :k]
+            value = np.take_along_axis(sims, order, 1)
+            a, b = np.nonzero(value >= floor)
+            parts.append(pd.DataFrame({"src": src[s + a], "dst": dst[order[a, b]], "weight": value[a, b]}))
+        return pd.concat(parts)
+
+    found = sides.groupBy("q", "x").applyInPandas(meet, "src long, dst long, weight double")
     best = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    return parts.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 
 
 def similarity_edges(vectors: DataFrame, key: str, column: str, k: int = 4, floor: float = 0.55) -> DataFrame:
@@ -79,10 +78,10 @@ def communities(edges: DataFrame, rounds: int = 20, least: int = 3) -> DataFrame
     """(id, community) by weighted label propagation, ties to the smallest label; small ones are -1 and the
     others numbered by size, then by smallest member. Lineage is cut by reliable checkpoints."""
     both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    labels = both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")).checkpoint()
+    labels = checkpointed(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
-        new = votes.groupBy(F.col("a").alias("id")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label")).checkpoint()
+        new = checkpointed(votes.groupBy(F.col("a").alias("id")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label")))
         moved = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
         labels = new
         if not moved:

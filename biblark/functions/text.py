@@ -184,7 +184,7 @@ def split_ris_name(c: Column) -> Column:
 
 
 def split_keywords(c: Column) -> Column:
-    words = F.filter(F.transform(F.split(c, "[,;]"), F.trim), lambda w: w != "")
+    words = F.filter(F.transform(F.split(c, "[,;]"), lambda w: F.trim(w)), lambda w: w != "")
     return distinct_in_order(words, F.lower)
 
 

@@ -289,7 +289,7 @@ def link_citations(markdown: Column) -> Column:
 
 def claims(text: Column) -> Column:
     """array of struct(text, page) of lines that begin with "- " or a bullet; (p. N) at the end is the page."""
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda line: line.rlike(r"^(- |• )\s*\S"))
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda line: line.rlike(r"^(- |• )\s*\S"))
     said = F.transform(lines, lambda line: F.trim(F.regexp_replace(line, r"^(- |• )", "")))
 
     def one(claim: Column) -> Column:

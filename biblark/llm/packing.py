@@ -28,6 +28,8 @@ from biblark.llm.common import Scratch, table
 
 CAPACITY = 1024
 END_ID = 2
+#: Fractions from which a fitted count is rounded up.
+ROUNDINGS = (0.5, 0.75, 1.0)
 #: Rows of one length that share a salt, on average.
 ROWS_PER_SALT = 500
 
@@ -56,8 +58,8 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def fit_patterns(histogram: np.ndarray, capacity: int, depth: int = 3, block: int = 48, rounds: int = 200) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and repeat counts by an active-set non-negative least-squares fit of ``histogram``."""
+def fit_patterns(histogram: np.ndarray, capacity: int, depth: int = 3, block: int = 48, rounds: int = 200) -> list[tuple[tuple[int, ...], float]]:
+    """Patterns and repeat counts (not yet rounded) by an active-set non-negative least-squares fit of ``histogram``."""
     a, b = np.meshgrid(np.arange(capacity + 1), np.arange(capacity + 1), indexing="ij")
     c = capacity - a - b
     keep = (a >= b) & (b >= c) & (c >= 0)
@@ -109,17 +111,26 @@ def fit_patterns(histogram: np.ndarray, capacity: int, depth: int = 3, block: in
             if not len(chosen):
                 break
         rest = target - columns @ amount if len(chosen) else target.copy()
-    return [(tuple(int(n) for n in parts[p] if n), int(round(x))) for p, x in zip(chosen, amount) if round(x) > 0]
+    return [(tuple(int(n) for n in parts[p] if n), float(x)) for p, x in zip(chosen, amount)]
 
 
 def plan_packing(histogram: np.ndarray, capacity: int = CAPACITY, depth: int = 3) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths in a sequence, number of such sequences)] that use every piece of the histogram once."""
+    """[(lengths in a sequence, number of such sequences)] that use every piece of the histogram once. The fitted
+    counts are rounded from each of ``ROUNDINGS`` on; the rounding that needs the fewest sequences counts, since
+    small histograms have many counts below one."""
+    fitted = fit_patterns(histogram, capacity, depth)
+    plans = [rounded_plan(histogram, fitted, up, capacity) for up in ROUNDINGS]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def rounded_plan(histogram: np.ndarray, fitted: list[tuple[tuple[int, ...], float]], up: float, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Counts rounded up from the fraction ``up`` on, trimmed to the pieces there are, and the residual packed by best fit."""
     left = histogram.astype(np.int64).copy()
     left[0] = 0
     plan: list[tuple[tuple[int, ...], int]] = []
-    for lengths, times in sorted(fit_patterns(left, capacity, depth), key=lambda p: -p[1]):
+    for lengths, amount in sorted(fitted, key=lambda p: -p[1]):
         need = {n: lengths.count(n) for n in lengths}
-        times = min(times, *(int(left[n]) // k for n, k in need.items()))
+        times = min(int(amount + 1 - up), *(int(left[n]) // k for n, k in need.items()))
         if times > 0:
             plan.append((lengths, times))
             for n, k in need.items():

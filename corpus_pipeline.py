@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblark.llm import decontaminate, packing, pii, quality, simhash
+from biblark.llm import decontaminate, near_copies, packing, pii, quality
 from biblark.llm.common import Scratch, fresh, table
 
 
@@ -20,8 +20,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return simhash.one_of_each(spark, docs)
+    """Keeps one document of each group of near copies: 5-word shingles, similarity 0.8 or more."""
+    return near_copies.one_of_each(spark, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

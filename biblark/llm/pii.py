@@ -44,7 +44,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Wide patterns of the candidates, by kind.
 WIDE = {
-    "secret": re.compile(r"""(?i)\b(?:api[_-]?key|secret|token|passw(?:or)?d|pwd)\b["']?\s{0,4}[:=]\s{0,4}["']?([A-Za-z0-9_/+=.-]{8,128})"""),
+    "secret": re.compile(r"""(?i)\b(?:api[_-]?key|secret|token|passw(?:or)?d|pwd)\b["']?\s{0,4}[:=]\s{0,4}["']?([A-Za-z0-9_/+=.-]{8,})"""),
     "email_text": re.compile(r"(?i)\b([a-z0-9][a-z0-9._-]{0,63}\s?[\[(]?(?:\bat\b|@)[\])]?\s?[a-z0-9-]{2,63}\s?[\[(]?(?:\bdot\b|\.)[\])]?\s?(?:com|org|net|edu|io|de|fr|es|info))\b"),
     "account": re.compile(r"\b([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?)\b"),
     "identity": re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
@@ -221,8 +221,8 @@ def listed(spans, order: tuple[str, ...] = (*KINDS, *WIDE)):
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; of overlapping spans the
-    first, then the longest, is replaced."""
+    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; spans that
+    overlap are replaced together, up to the furthest end, by the kind of the first, then the longest."""
     allowed = frozenset(chosen_candidates(detected(docs), threshold))
 
     @F.pandas_udf("string")
@@ -236,7 +236,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 for kind, start, end in sorted(base + added, key=lambda s: (s[1], -s[2])):
                     if start >= at:
                         parts += [t[at:start], f"<{kind.upper()}>"]
-                        at = end
+                    at = max(at, end)
                 t = "".join(parts) + t[at:]
             out.append(t)
         return pd.Series(out, dtype=object)

@@ -72,14 +72,14 @@ def snippets(docs: DataFrame, key: str, title: str, body: str, query: str) -> Da
     return found.select(key, T.excerpt(F.col(body), query).alias("excerpt"))
 
 
-def chunk(text: str | None, target: int, overlap: int, most: int) -> list[str]:
+def chunk(text: str | None, target: int, overlap: int, most: int | None = None) -> list[str]:
     """Passages on word borders: words are taken until their bytes and one each reach ``target``; the next
     passage starts as many words back as ``overlap`` needs, one word further at least."""
     words = (text or "").split()
     sizes = [len(w.encode("utf-8", "surrogatepass")) + 1 for w in words]
     out: list[str] = []
     start = 0
-    while start < len(words) and len(out) < most:
+    while start < len(words) and (most is None or len(out) < most):
         end = size = start
         size = 0
         while end < len(words) and size < target:
@@ -96,8 +96,8 @@ def chunk(text: str | None, target: int, overlap: int, most: int) -> list[str]:
     return out
 
 
-def chunks(docs: DataFrame, key: str, column: str, target: int = 1000, overlap: int = 200, most: int = 400) -> DataFrame:
-    """(key, ord, passage) of every text."""
+def chunks(docs: DataFrame, key: str, column: str, target: int = 1000, overlap: int = 200, most: int | None = None) -> DataFrame:
+    """(key, ord, passage) of every text, at most ``most`` of each if that is given."""
 
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

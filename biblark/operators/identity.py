@@ -62,7 +62,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("id", "group")
         if not moved:
             return labels
-    return labels
+    raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:

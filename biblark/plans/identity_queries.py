@@ -65,6 +65,9 @@ QUERIES = {
         lambda lib: identity.duplicate_groups(lib.documents.withColumn("title", F.concat(F.lit("w"), "id"))),
         cte(f"SELECT d.id, h.m AS \"group\" FROM lib_live d JOIN ({HASHES}) h USING (file_hash) WHERE d.file_hash IN (SELECT file_hash FROM lib_live GROUP BY 1 HAVING count(*) > 1)"),
     ),
+    # The two above replace the titles and so read contents and DOIs only, as their SQL does; these two are the whole job.
+    "duplicate_links_all": (lambda lib: identity.duplicate_links(lib.live), None),
+    "duplicate_groups_all": (lambda lib: identity.duplicate_groups(lib.documents), None),
     "merge_documents": (
         merged_tags,
         cte(f"WITH h AS ({HASHES}), o AS (SELECT d.id, h.m FROM lib_live d JOIN h USING (file_hash)) SELECT document_id, count(*) AS n FROM (SELECT DISTINCT coalesce(o.m, t.document_id) AS document_id, tag_id FROM lib_document_tags t LEFT JOIN o ON o.id = t.document_id) GROUP BY 1"),

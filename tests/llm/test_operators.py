@@ -376,13 +376,6 @@ def test_pages(spark):
     assert html_text.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_merging_makes_optional_and_repeated_groups():
-    a = html_text.wrapper_of(html_text.parse("<div><p>one</p><p>two</p><ul>x</ul></div>"))
-    b = html_text.wrapper_of(html_text.parse("<div><p>one</p></div>"))
-    w = html_text.merge(a, b)["c"][0]["c"]
-    assert [c["s"] for c in w] == ["p", "ul"] and w[0]["r"] == 1 and w[1]["o"] == 1 and w[0]["c"][0]["k"] is None
-
-
 # ---- the whole pipeline
 
 

@@ -3,23 +3,35 @@
 Method: ARC files of version 1 (five header fields) and version 2 (ten) are
 parsed by their version block and the length that each header line declares.
 Identifiers, timestamps, types and digests of WARC records are synthesised
-from what ARC has. Of records with equal payloads of ``LEAST_REVISIT`` bytes
-or more, that of the smallest page_id is a response and the others revisit it.
+from what ARC has. An HTTP answer becomes a response, split at its first blank
+line, with or without carriage returns; what is no HTTP answer (``dns:`` and
+others) becomes a resource whose payload is the whole block. Bytes under a
+header line that can't be read, and records that are cut short, are kept aside
+as resources with the reason, up to the next line that is a header;
+``rejected`` gives them.
+
+Of responses with equal payloads of ``LEAST_REVISIT`` bytes or more, that of
+the smallest page_id is a response and the others revisit it. A revisit names
+its response by record id, and reading back resolves it that way.
 
 Archives are cut by size: a task gathers records up to ``ARCHIVE_BYTES`` into
 one archive, Spark writes each as a file of its own into the shared folder,
-and reading takes one file at a time. Payloads are shuffled once, when they
-meet the decision on their digest; the decisions hold digests and ids only.
+and reading takes one file at a time. Decisions are made on digests and ids
+only; payloads are shuffled once, by record id, so equal payloads don't meet in
+one task.
 
 Defined results: null html is an empty payload; a null url is ``about:blank``
 and white space in a url is percent-encoded; repeated rows of the smallest
-page_id are all responses; an empty table gives no rows.
+page_id are all responses; rows without page_id revisit if there is one with
+it, else all are responses; an empty table gives no rows. A block or payload
+that doesn't have its digest ends the reading with an error.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
@@ -34,8 +46,17 @@ ARCHIVE_BYTES = 8 << 20
 LEAST_REVISIT = 100
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 EPOCH = datetime(2005, 1, 1, tzinfo=timezone.utc)
-RECORD = "page_id long, url string, ip string, date string, content_type string, http binary, payload binary, payload_bytes long, payload_digest string, record_id string"
-READ_BACK = "page_id long, record_id string, record_type string, url string, date string, payload_bytes long, payload_digest string, refers_to long, intact boolean"
+RECORD = "page_id long, kind string, url string, ip string, date string, content_type string, http binary, payload binary, payload_bytes long, payload_digest string, record_id string, rejected string"
+READ_BACK = "page_id long, record_id string, record_type string, url string, date string, payload_bytes long, payload_digest string, refers_to_id string, rejected string"
+REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+SALTS = 16
+# A header line by version; urls and content types may hold spaces.
+HEADER = {
+    1: re.compile(rb"(?P<url>\S.*?) (?P<ip>[0-9a-fA-F.:]+|-) (?P<date>[0-9]{8,17}) (?P<type>.*?) (?P<length>[0-9]+)\r?"),
+    2: re.compile(rb"(?P<url>\S.*?) (?P<ip>[0-9a-fA-F.:]+|-) (?P<date>[0-9]{8,17}) (?P<type>.*?) (?P<code>\S+) (?P<checksum>\S+) (?P<location>.*?) (?P<offset>\S+) (?P<file>\S+) (?P<length>[0-9]+)\r?"),
+}
+LIKE_HEADER = re.compile(rb"(?m)^[A-Za-z][A-Za-z0-9+.-]*:\S* (?:[0-9a-fA-F.:]+|-) [0-9]{8,17} [^\n]*[0-9]\r?$")
+BLANK = re.compile(rb"\r?\n\r?\n")
 
 
 # ---- ARC
@@ -62,59 +83,92 @@ def arc_opening(version: int, name: str) -> bytes:
 
 
 def read_arc(data: bytes) -> Iterator[dict]:
-    """Records of an ARC archive. The version block says how many fields a header line has; its last is the length."""
-    at, version = 0, 1
+    """Records of an ARC archive: url, ip, date, type, block, and the archive's name and the place there. What can't
+    be read comes as (rejected, block)."""
+    at, version, name = 0, 1, hashlib.sha256(data).hexdigest()
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
-        end = data.index(b"\n", at)
-        fields = data[at:end].decode("utf-8", "surrogatepass").split(" ")
-        length = int(fields[-1])
-        block = data[end + 1 : end + 1 + length]
-        if len(block) < length:
-            raise ValueError(f"ARC record at {at} is cut short: {len(block)} of {length} bytes")
-        at = end + 1 + length
-        if fields[0].startswith("filedesc:"):
-            version = int(block.split(b" ", 1)[0])
+        begin, end = at, data.find(b"\n", at)
+        end = len(data) if end < 0 else end
+        opening = data.startswith(b"filedesc:", at)
+        m = (HEADER[1].fullmatch(data, at, end) or HEADER[2].fullmatch(data, at, end)) if opening else HEADER[version].fullmatch(data, at, end)
+        why = "header line" if m is None else "cut short" if end + 1 + int(m["length"]) > len(data) else "date" if not opening and date_of(m["date"]) is None else ""
+        if why == "header line":
+            following = LIKE_HEADER.search(data, end)
+            at = following.start() if following else len(data)
+            yield {"rejected": why, "block": data[begin:at], "name": name, "at": begin}
             continue
-        if len(fields) != len(FIELDS[version].split(" ")):
-            raise ValueError(f"ARC header of version {version} with {len(fields)} fields")
-        yield dict(zip(FIELDS[version].split(" "), fields)) | {"block": block}
+        at = min(end + 1 + int(m["length"]), len(data))
+        if opening and not why:
+            version = 2 if data[end + 1 : at].startswith(b"2") else 1
+            name = m["url"].decode("utf-8", "surrogateescape")
+        elif why:
+            yield {"rejected": why, "block": data[begin:at], "name": name, "at": begin}
+        else:
+            yield {"block": data[end + 1 : at], "name": name, "at": begin} | {k: m[k].decode("utf-8", "surrogateescape") for k in ("url", "ip", "date", "type")}
+
+
+def date_of(digits: bytes | str) -> str | None:
+    """14 digits, of which hours and less may be missing, as an ISO timestamp."""
+    digits = digits.decode() if isinstance(digits, bytes) else digits
+    try:
+        return datetime.strptime(digits[:14].ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    except ValueError:
+        return None
+
+
+def http_parts(block: bytes) -> tuple[bytes, bytes]:
+    """Head with its blank line, and payload. Without a blank line all is head."""
+    m = BLANK.search(block)
+    return (block[: m.end()], block[m.end() :]) if m else (block, b"")
+
+
+def http_fields(head: bytes) -> dict[bytes, bytes]:
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in head.splitlines()[1:])}
 
 
 def arc_to_record(arc: dict) -> tuple:
     """What a WARC record needs, synthesised from an ARC record."""
-    head, _, payload = arc["block"].partition(b"\r\n\r\n")
-    page = next((line[10:].strip() for line in head.split(b"\r\n") if line[:10].lower() == b"x-page-id:"), b"")
-    date = datetime.strptime(arc["Archive-date"], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    block, ident = arc["block"], f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, arc['name'] + ':' + str(arc['at']))}>"
+    if "rejected" in arc:
+        return (None, "resource", f"urn:arc:{arc['at']}", "-", EPOCH.strftime("%Y-%m-%dT%H:%M:%SZ"), "application/octet-stream", b"", block, len(block), hashlib.sha256(block).hexdigest(), ident, arc["rejected"])
+    answer = block.startswith(b"HTTP/")
+    head, payload = http_parts(block) if answer else (b"", block)
+    page = http_fields(head).get(b"x-page-id", b"").decode()
     digest = hashlib.sha256(payload).hexdigest()
-    key = f"{arc['URL']} {arc['Archive-date']} {page.decode()} {digest}"
-    return (int(page) if page else None, arc["URL"], arc["IP-address"], date, arc["Content-type"], head + b"\r\n\r\n", payload, len(payload), digest, f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}>")
+    return (int(page) if page.isdigit() or page[:1] == "-" and page[1:].isdigit() else None, "response" if answer else "resource", arc["url"], arc["ip"], date_of(arc["date"]), arc["type"], head, payload, len(payload), digest, ident, None)
 
 
 # ---- WARC
 
 
 def warc_record(r: dict) -> bytes:
-    revisit = r["refers_to"] is not None and not pd.isna(r["refers_to"])
+    revisit = isinstance(r["refers_to_id"], str)
+    kind = "revisit" if revisit else r["kind"]
     block = r["http"] if revisit else r["http"] + r["payload"]
     lines = [
         "WARC/1.0",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Type: {kind}",
         f"WARC-Record-ID: {r['record_id']}",
         f"WARC-Target-URI: {r['url']}",
         f"WARC-Date: {r['date']}",
-        f"WARC-IP-Address: {r['ip']}",
-        "Content-Type: application/http; msgtype=response",
-        f"WARC-Identified-Payload-Type: {r['content_type']}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"WARC-Payload-Digest: sha256:{r['payload_digest']}",
     ]
+    if r["ip"] not in ("-", "0.0.0.0"):
+        lines.append(f"WARC-IP-Address: {r['ip']}")
+    if kind == "resource":
+        lines.append(f"Content-Type: {r['content_type']}")
+    else:
+        lines += ["Content-Type: application/http; msgtype=response", f"WARC-Identified-Payload-Type: {r['content_type']}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {r['refers_to_id']}", f"WARC-Refers-To-Page: {int(r['refers_to'])}"]
+        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {r['refers_to_id']}"]
+    if isinstance(r["rejected"], str):
+        lines.append(f"X-Rejected: {r['rejected']}")
     lines.append(f"Content-Length: {len(block)}")
-    return "\r\n".join([*lines, "", ""]).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
+    return "\r\n".join([*lines, "", ""]).encode("utf-8", "surrogateescape") + block + b"\r\n\r\n"
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -125,7 +179,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 1
             continue
         end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
+        version, *lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}")
         head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
@@ -138,18 +192,15 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def warc_to_row(head: dict[str, str], block: bytes) -> tuple:
-    http, _, payload = block.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in http.split(b"\r\n")[1:])}
-    kind = head["warc-type"]
-    declared = head["warc-payload-digest"].removeprefix("sha256:")
-    intact = head["warc-block-digest"] == f"sha256:{hashlib.sha256(block).hexdigest()}"
-    if kind == "response":
-        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-        intact = intact and digest == declared
-    else:
-        size, digest = int(fields[b"content-length"]), declared
-    page, to = fields.get(b"x-page-id", b""), head.get("warc-refers-to-page")
-    return (int(page) if page else None, head["warc-record-id"], kind, head["warc-target-uri"], head["warc-date"], size, digest, int(to) if to else None, intact)
+    kind, declared = head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:")
+    http, payload = (b"", block) if kind == "resource" else http_parts(block)
+    fields = http_fields(http)
+    size, digest = (int(fields[b"content-length"]), declared) if kind == "revisit" else (len(payload), hashlib.sha256(payload).hexdigest())
+    if head["warc-block-digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}" or digest != declared:
+        raise ValueError(f"WARC record {head['warc-record-id']} is damaged")
+    page = fields.get(b"x-page-id", b"")
+    url = head["warc-target-uri"].encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    return (int(page) if page else None, head["warc-record-id"], kind, url, head["warc-date"], size, digest, head.get("warc-refers-to"), head.get("x-rejected"))
 
 
 # ---- Spark
@@ -197,9 +248,7 @@ def read_archives(spark: SparkSession, path: str, rows, schema: str) -> DataFram
         for batch in batches:
             for content in batch["content"]:
                 out = pd.DataFrame(list(rows(gzip.decompress(content))), columns=names)
-                for c in ("page_id", "refers_to"):
-                    if c in out:
-                        out[c] = out[c].astype("Int64")
+                out["page_id"] = out["page_id"].astype("Int64")
                 yield out
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
@@ -211,11 +260,15 @@ def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_revisits(records: DataFrame) -> DataFrame:
-    """Adds refers_to and refers_to_id, null for responses."""
-    firsts = records.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy(F.col("payload_digest").alias("d")).agg(F.min("page_id").alias("first"), F.min_by("record_id", F.struct("page_id", "record_id")).alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    joined = records.join(firsts, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= LEAST_REVISIT), "left")
-    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.withColumn("refers_to", F.when(other, F.col("first"))).withColumn("refers_to_id", F.when(other, F.col("first_id"))).drop("d", "n", "first", "first_id")
+    """Adds refers_to_id, null for responses. Digests that occur twice meet their records in ``SALTS`` parts, so one
+    that a third of all pages share is no task of its own."""
+    seen = records.where((F.col("kind") == "response") & (F.col("payload_bytes") >= LEAST_REVISIT)).select("page_id", "record_id", "payload_digest")
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")
+    firsts = seen.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1 and not first.none")
+    firsts = firsts.select("payload_digest", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("refers_to_id"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    salted = seen.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+    revisits = salted.join(firsts, ["payload_digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first_page"))).select("record_id", "refers_to_id")
+    return records.join(revisits, "record_id", "left")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -225,7 +278,20 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
-    return read_archives(spark, path, lambda data: (warc_to_row(h, b) for h, b in read_warc(data) if h["warc-type"] != "warcinfo"), READ_BACK)
+    """All records but warcinfo; refers_to is the page_id of the record that a revisit names, null for others."""
+    rows = read_archives(spark, path, lambda data: (warc_to_row(h, b) for h, b in read_warc(data) if h["warc-type"] != "warcinfo"), READ_BACK)
+    rows = Scratch(spark, "warc-read").keep(rows, "rows")  # the archives are unpacked once
+    named = rows.where("refers_to_id is not null").select("refers_to_id").distinct()
+    targets = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).join(named, "refers_to_id", "left_semi")
+    salted = targets.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    revisit = F.col("refers_to_id").isNotNull()
+    found = rows.where(revisit).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")).join(salted, ["refers_to_id", "salt"], "left").drop("salt")
+    return rows.where(~revisit).withColumn("refers_to", F.lit(None).cast("long")).unionByName(found)
+
+
+def rejected(records: DataFrame) -> DataFrame:
+    """(rejected, n, bytes): what could not be read of legacy archives, by reason."""
+    return records.where("rejected is not null").groupBy("rejected").agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("bytes"))
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
@@ -238,4 +304,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_arc(table(spark, sf_dir, "pages"), arc)
     convert(spark, arc, warc)
     scratch.drop_path(arc)
-    return read_warc_files(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = scratch.keep(read_warc_files(spark, warc), "read")
+    scratch.drop_path(warc)
+    if lost := rejected(read).collect():
+        raise ValueError(f"records of the query's own archives can't be read: {lost}")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

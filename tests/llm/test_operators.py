@@ -387,16 +387,93 @@ def test_archive_round_trip(spark, tmp_path, version):
     warc.write_arc(pages, f"file://{tmp_path}/arc", version)
     warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
     got = warc.read_warc_files(spark, f"file://{tmp_path}/warc").collect()
-    assert len(got) == len(rows) and all(r["intact"] for r in got)
+    assert len(got) == len(rows) and not any(r["rejected"] for r in got)
     by = {(r["page_id"], r["record_type"]): r for r in got}
     assert by[5, "revisit"]["refers_to"] == 3 and by[5, "revisit"]["payload_digest"] == hashlib.sha256(long.encode()).hexdigest()
     assert by[4, "response"]["payload_bytes"] == 0 and by[7, "response"]["refers_to"] is None
 
 
-def test_cut_archives_are_told():
-    record = warc.arc_record(1, 1, "http://a/", "body", 0, "n")
+def foreign_arc(version, records, extra=b""):
+    """An archive as crawlers wrote them: version block, then header lines and blocks; ``records`` are (header, block)."""
+    names = b"URL IP-address Archive-date Content-type Archive-length" if version == 1 else b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
+    block = b"%d 0 Crawler Inc.\n%s\n" % (version, names)
+    tail = b"%d" % len(block) if version == 1 else b"200 - - 0 x.arc %d" % len(block)
+    out = b"filedesc://x.arc 0.0.0.0 19960923142103 text/plain " + tail + b"\n" + block
+    for header, body in records:
+        out += b"\n" + header + (b" %d" % len(body) if header else b"") + b"\n" + body
+    return out + extra
+
+
+def converted(spark, tmp_path, *archives):
+    import gzip
+
+    (tmp_path / "arc").mkdir()
+    for i, a in enumerate(archives):
+        (tmp_path / "arc" / f"{i}.arc.gz").write_bytes(gzip.compress(a))
+    warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    return warc.read_warc_files(spark, f"file://{tmp_path}/warc")
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_foreign_archives(spark, tmp_path, version):
+    """Bare line feeds, no HTTP at all, dns records, spaces in headers, bytes that are no UTF-8: payloads are exact."""
+    rest = b"" if version == 1 else b" 200 sum - 77 x.arc"
+    body = bytes(range(256)) * 2
+    records = [
+        (b"http://a.example/ 192.0.2.1 19960923142103 text/html" + rest, b"HTTP/1.0 200 OK\nServer: x\n\n" + body),
+        (b"http://b.example/ 192.0.2.1 19960923142103 text/html; charset=x" + rest, b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n" + b"\n\n" + body),
+        (b"dns:c.example 192.0.2.9 20000101000000 text/dns" + rest, b"20000101\nc.example. 3600 IN A 192.0.2.3\n"),
+        (b"http://d.example/a b 192.0.2.1 19960923 text/html" + rest, b"<html>no head at all</html>"),
+        (b"http://e.example/ 192.0.2.1 19960923142103 no-type" + rest, b"HTTP/1.0 304 Not Modified\r\nServer: x"),
+    ]
+    got = {r["url"]: r for r in converted(spark, tmp_path, foreign_arc(version, records)).collect()}
+    want = [body, b"\n\n" + body, records[2][1], records[3][1], b""]
+    assert len(got) == 5
+    for (header, _), payload in zip(records, want):
+        row = got[re.split(rb" (?=192)", header)[0].decode()]
+        assert row["payload_bytes"] == len(payload) and row["payload_digest"] == hashlib.sha256(payload).hexdigest() and row["rejected"] is None
+    assert got["dns:c.example"]["record_type"] == "resource" and got["http://a.example/"]["record_type"] == "response"
+    assert got["http://d.example/a b"]["date"] == "1996-09-23T00:00:00Z"
+
+
+def test_bad_headers_are_kept_aside(spark, tmp_path):
+    good = lambda i: (b"http://g%d.example/ 192.0.2.1 19960923142103 text/html" % i, b"HTTP/1.0 200 OK\r\n\r\nbody %d" % i)
+    mixed = foreign_arc(1, [good(1), (b"", b"some bytes\nthat are no record\n"), good(2), (b"http://h.example/ 192.0.2.1 19961399999999 text/html", b"HTTP/1.0 200 OK\r\n\r\nx"), good(3)], extra=b"\nhttp://cut.example/ 192.0.2.1 19960923142103 text/html 500\nHTTP/1.0")
+    rows = converted(spark, tmp_path, mixed, foreign_arc(1, [good(4)]))
+    assert {r["rejected"]: r["n"] for r in warc.rejected(rows).collect()} == {"header line": 1, "date": 1, "cut short": 1}
+    assert rows.where("rejected is null").count() == 4
+
+
+def test_revisits_name_their_response(spark, tmp_path):
+    same = "s" * 300
+    rows = [(i, f"http://{i}/", same) for i in (9, 4, 7, 4)] + [(None, "n", same), (None, "n", "n" * 200), (None, "m", "n" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_arc(pages, f"file://{tmp_path}/arc")
+    warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    got = warc.read_warc_files(spark, f"file://{tmp_path}/warc").collect()
+    ids = {r["record_id"]: r for r in got}
+    assert len(ids) == len(rows)
+    kinds = sorted((r["page_id"] or 0, r["url"], r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == 300)
+    assert kinds == [(0, "n", "revisit", 4), (4, "http://4/", "response", None), (4, "http://4/", "response", None), (7, "http://7/", "revisit", 4), (9, "http://9/", "revisit", 4)]
+    assert all(ids[r["refers_to_id"]]["record_type"] == "response" for r in got if r["refers_to_id"])
+    assert [r["record_type"] for r in got if r["payload_bytes"] == 200] == ["response"] * 2
+
+
+def test_archives_of_an_empty_table_and_clashing_columns(spark, tmp_path):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    more = spark.createDataFrame([(1, "u", "h", "x", "y")], "page_id long, url string, html string, archive string, payload string")
+    for name, pages, n in (("e", empty, 0), ("m", more, 1)):
+        warc.write_arc(pages, f"file://{tmp_path}/{name}")
+        warc.convert(spark, f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}w")
+        assert warc.read_warc_files(spark, f"file://{tmp_path}/{name}w").count() == n
+
+
+def test_damage_ends_the_reading():
+    record = warc.warc_record(dict(zip([f.split(" ")[0] for f in warc.RECORD.split(", ")], warc.arc_to_record(next(warc.read_arc(warc.arc_opening(1, "n") + warc.arc_record(1, 1, "http://a/", "body", 0, "n")))))) | {"refers_to_id": None})
+    (head, block), = warc.read_warc(record)
+    assert warc.warc_to_row(head, block)[5] == 4
     with pytest.raises(ValueError):
-        list(warc.read_arc(warc.arc_opening(1, "n") + record[:-4]))
+        warc.warc_to_row(head, block.replace(b"body", b"bodY"))
 
 
 # ---- pages

@@ -17,8 +17,8 @@ its response by record id, and reading back resolves it that way.
 Archives are cut by size: a task gathers records up to ``ARCHIVE_BYTES`` into
 one archive, Spark writes each as a file of its own into the shared folder,
 and reading takes one file at a time. Decisions are made on digests and ids
-only; payloads are shuffled once, by record id, so equal payloads don't meet in
-one task.
+only and meet their archives file by file, so payloads are never shuffled one by
+one: where the decisions are too many to broadcast, compressed files move.
 
 Defined results: null html is an empty payload; a null url is ``about:blank``
 and white space in a url is percent-encoded; repeated rows of the smallest
@@ -206,80 +206,99 @@ def warc_to_row(head: dict[str, str], block: bytes) -> tuple:
 # ---- Spark
 
 
-def archives(rows: DataFrame, opening, record, limit: int = ARCHIVE_BYTES) -> DataFrame:
+def gathered(records: Iterator, opening, record, limit: int = ARCHIVE_BYTES) -> Iterator[pd.DataFrame]:
     """One row per archive: up to ``limit`` bytes of records, more only where a single record has more."""
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name = f"{uuid.uuid4().hex}"
-        parts, size, made = [], 0, 0
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                if not parts:
-                    parts, size = [opening(f"{name}-{made}")], 0
-                    made += 1
-                parts.append(record(row, size, f"{name}-{made}"))
-                size += len(parts[-1])
-                if size >= limit:
-                    yield pd.DataFrame({"archive": [b"".join(parts)]})
-                    parts = []
-        if parts:
+    name = f"{uuid.uuid4().hex}"
+    parts, size, made = [], 0, 0
+    for r in records:
+        if not parts:
+            parts, size = [opening(f"{name}-{made}")], 0
+            made += 1
+        parts.append(record(r, size, f"{name}-{made}"))
+        size += len(parts[-1])
+        if size >= limit:
             yield pd.DataFrame({"archive": [b"".join(parts)]})
-
-    return rows.mapInPandas(gather, "archive binary")
+            parts = []
+    if parts:
+        yield pd.DataFrame({"archive": [b"".join(parts)]})
 
 
 def write_archives(made: DataFrame, path: str) -> None:
     """Every archive becomes a file, compressed. The text writer puts bytes out as they are; the line feed
     that it adds stands between records, where both formats allow it."""
-    made.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    made.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 2) -> None:
     ident = lambda v: None if pd.isna(v) else int(v)
-    record = lambda row, size, name: arc_record(version, ident(row["page_id"]), row["url"], row["html"], size, name)
-    write_archives(archives(pages.select(F.col("page_id").cast("long"), "url", "html"), lambda name: arc_opening(version, name), record), path)
 
+    def arc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for batch in batches for row in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"]))
+        yield from gathered(rows, lambda name: arc_opening(version, name), lambda row, size, name: arc_record(version, ident(row[0]), row[1], row[2], size, name))
+
+    write_archives(pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(arc, "archive binary"), path)
 
-def read_archives(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
-    """``rows`` makes tuples of ``schema`` from an archive's bytes; one file is unpacked at a time."""
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+
+
+def read_archives(files: DataFrame, rows, schema: str) -> DataFrame:
+    """``rows`` makes tuples of ``schema`` from a file's path and bytes; one file is unpacked at a time."""
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                out = pd.DataFrame(list(rows(gzip.decompress(content))), columns=names)
+            for path, content in zip(batch["path"], batch["content"]):
+                out = pd.DataFrame(list(rows(path, gzip.decompress(content))), columns=names)
                 out["page_id"] = out["page_id"].astype("Int64")
                 yield out
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInPandas(read, schema)
 
 
 def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
-    return read_archives(spark, path, lambda data: map(arc_to_record, read_arc(data)), RECORD)
+    """The records of legacy archives, with their file and place in it."""
+    return read_archives(archive_files(spark, path), lambda path, data: ((*arc_to_record(r), path, r["at"]) for r in read_arc(data)), RECORD + ", path string, at long")
 
 
-def with_revisits(records: DataFrame) -> DataFrame:
-    """Adds refers_to_id, null for responses. Digests that occur twice meet their records in ``SALTS`` parts, so one
-    that a third of all pages share is no task of its own."""
-    seen = records.where((F.col("kind") == "response") & (F.col("payload_bytes") >= LEAST_REVISIT)).select("page_id", "record_id", "payload_digest")
+def revisits(records: DataFrame) -> DataFrame:
+    """(path, at, refers_to_id) of the records that revisit another. Digests that occur twice meet their records in
+    ``SALTS`` parts, so one that a third of all pages share is no task of its own."""
+    seen = records.where((F.col("kind") == "response") & (F.col("payload_bytes") >= LEAST_REVISIT)).select("page_id", "record_id", "payload_digest", "path", "at")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")
     firsts = seen.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1 and not first.none")
     firsts = firsts.select("payload_digest", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("refers_to_id"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     salted = seen.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
-    revisits = salted.join(firsts, ["payload_digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first_page"))).select("record_id", "refers_to_id")
-    return records.join(revisits, "record_id", "left")
+    return salted.join(firsts, ["payload_digest", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first_page"))).select("path", "at", "refers_to_id")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
+    """Reads legacy archives twice: for the decisions, which are kept, and to write each archive's records anew."""
+    scratch = Scratch(spark, "arc")
+    meta = read_arc_files(spark, arc_path).select("page_id", "kind", "payload_bytes", "payload_digest", "record_id", "path", "at")
+    meta = scratch.keep(meta, "meta")
+    decided = revisits(meta).groupBy("path").agg(F.collect_list(F.struct("at", "refers_to_id")).alias("decided"))
     info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:%s>\r\nWARC-Date: 2005-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 18\r\n\r\nformat: WARC 1.0\r\n\r\n\r\n"
-    opening = lambda name: info % str(uuid.uuid5(uuid.NAMESPACE_URL, name)).encode()
-    write_archives(archives(records, opening, lambda row, size, name: warc_record(row)), path)
+    names = [f.split(" ")[0] for f in RECORD.split(", ")]
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        for batch in batches:
+            for content, known in zip(batch["content"], batch["decided"]):
+                to = {d["at"]: d["refers_to_id"] for d in known} if known is not None else {}
+                for r in read_arc(gzip.decompress(content)):
+                    yield dict(zip(names, arc_to_record(r))) | {"refers_to_id": to.get(r["at"])}
+
+    def warc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from gathered(records(batches), lambda name: info % str(uuid.uuid5(uuid.NAMESPACE_URL, name)).encode(), lambda r, size, name: warc_record(r))
+
+    write_archives(archive_files(spark, arc_path).join(decided, "path", "left").select("content", "decided").mapInPandas(warc, "archive binary"), warc_path)
+    scratch.drop(meta)
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
     """All records but warcinfo; refers_to is the page_id of the record that a revisit names, null for others."""
-    rows = read_archives(spark, path, lambda data: (warc_to_row(h, b) for h, b in read_warc(data) if h["warc-type"] != "warcinfo"), READ_BACK)
+    rows = read_archives(archive_files(spark, path), lambda path, data: (warc_to_row(h, b) for h, b in read_warc(data) if h["warc-type"] != "warcinfo"), READ_BACK)
     rows = Scratch(spark, "warc-read").keep(rows, "rows")  # the archives are unpacked once
     named = rows.where("refers_to_id is not null").select("refers_to_id").distinct()
     targets = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).join(named, "refers_to_id", "left_semi")
@@ -294,10 +313,6 @@ def rejected(records: DataFrame) -> DataFrame:
     return records.where("rejected is not null").groupBy("rejected").agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("bytes"))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
-    write_warc(with_revisits(read_arc_files(spark, arc_path)), warc_path)
-
-
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     arc, warc = scratch.path("arc"), scratch.path("warc")

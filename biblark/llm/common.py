@@ -103,6 +103,17 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(reduce(follow, moves, roots), "components")
 
 
+def least_of_components(nodes: DataFrame, roots: DataFrame, salts: int = 16) -> DataFrame:
+    """``nodes`` (node, least and others) with component_id, the smallest ``least`` of the node's component; ``roots``
+    is that of connected_components. Nodes without links are components of their own and not shuffled by root;
+    the others meet their root's row in ``salts`` parts, so that one large component is no task of its own."""
+    rooted = nodes.join(roots, "node", "left")
+    linked = rooted.where("root is not null").withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    single = rooted.where("root is null").withColumn("component_id", F.col("least")).withColumn("root", F.col("node"))
+    return linked.join(least, ["root", "_salt"]).drop("_salt").unionByName(single)
+
+
 class Forest:
     """Components within one task: ``join`` takes arrays of linked positions."""
 

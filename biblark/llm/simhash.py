@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from biblark.llm.common import Forest, Scratch, connected_components, fresh, table
+from biblark.llm.common import Forest, Scratch, connected_components, fresh, least_of_components, table
 
 SHINGLE = 4
 SEED = 42
@@ -179,9 +179,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     distinct = scratch.keep(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links = near_links(spark, distinct, scratch, radius)
     roots = connected_components(links, scratch)
-    rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "root", "component_id")
+    classes = least_of_components(distinct.withColumnRenamed("fp", "node"), roots).select(F.col("node").alias("fp"), "root", "component_id")
     return marks.join(classes, "fp")
 
 

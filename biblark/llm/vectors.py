@@ -8,10 +8,12 @@ of cells to visit are fitted on a bounded sample (``SAMPLE`` vectors of least
 hash); every vector is indexed and every vector is a query.
 
 Each vector stands in its home cell and is sent to those visited cells that
-come later than its home, so a pair is compared once at most. A cell of more
-than ``TILE`` rows is cut into tiles and pairs of tiles are tasks of their
-own. Equal vectors are compared as one with a multiplicity. A task returns a
-link count and a component root for each vector, never pairs.
+come later than its home, so a pair is compared once at most. Only pairs with a
+member at home are compared: the vectors at home in a cell are cut into tiles,
+all its vectors into slices, both of at most about ``TILE`` rows, and each tile
+meets each slice in a task of its own. Equal vectors are compared as one with a
+multiplicity. A task returns a link count and a component root for each vector,
+never pairs.
 
 Defined results: a vector that is null, zero, of another length than most, or
 that holds null or non-finite components links with nothing and is its own
@@ -27,13 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblark.llm.common import Forest, Scratch, connected_components, table
+from biblark.llm.common import Forest, Scratch, connected_components, least_of_components, table
 
 THRESHOLD = 0.9
 RECALL = 0.995
 SAMPLE = 8192
 CELL_ROWS = 256
-TILE = 2048
+TILE = 4096
 BLOCK = 512
 
 
@@ -98,22 +100,22 @@ class MultiIndex:
         return ou[:, 0] * self.k + ov[:, 0], cells
 
 
-def links_in_task(x: np.ndarray, times: np.ndarray, home: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each row (with multiplicity) and its component's root, among rows of one cell."""
-    n = np.zeros(len(x), dtype=np.int64)
-    forest = Forest(len(x))
-    for i in range(0, len(x), BLOCK):
-        for j in range(i, len(x), BLOCK):
-            a, b = slice(i, i + BLOCK), slice(j, j + BLOCK)
-            near = (x[a] @ x[b].T >= threshold) & (home[a, None] | home[None, b])
-            near &= (side[a, None] == 0) | (side[a, None] != side[None, b])
-            if i == j:
-                near = np.triu(near, 1)
+def links_in_task(home: np.ndarray, home_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, at_home: np.ndarray, times: np.ndarray, home_times: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors at home against a slice of their cell: the links (with multiplicity) of each row, those at home first,
+    and its component's root. Two vectors at home are compared where the first has the smaller id."""
+    size = len(home)
+    n = np.zeros(size + len(x), dtype=np.int64)
+    forest = Forest(size + len(x))
+    for i in range(0, size, BLOCK):
+        a = slice(i, i + BLOCK)
+        for j in range(0, len(x), BLOCK):
+            b = slice(j, j + BLOCK)
+            near = (home[a] @ x[b].T >= threshold) & (~at_home[None, b] | (home_ids[a, None] < ids[None, b]))
             if near.any():
-                n[a] += near @ times[b]
-                n[b] += near.T @ times[a]
+                n[i : i + near.shape[0]] += near @ times[b]
+                n[size + j : size + j + near.shape[1]] += near.T @ home_times[a]
                 r, c = np.nonzero(near)
-                forest.join(r + i, c + j)
+                forest.join(r + i, c + size + j)
     return n, forest.root
 
 
@@ -126,12 +128,12 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     width = common[0]["d"] if common else 1
     usable = F.coalesce((F.size(e) == width) & ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False))
     keyed = rows.withColumn("k1", F.when(usable, F.xxhash64("embedding"))).withColumn("k2", F.when(usable, F.hash("embedding")))
-    distinct = keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times"), F.first("embedding").alias("embedding"))
-    distinct = scratch.keep(distinct, "distinct")
+    distinct = keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.first("embedding").alias("embedding"))
+    distinct = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     total = distinct.count()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    drawn = distinct.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(sample).toPandas()
+    drawn = distinct.select("k1", "k2", "embedding").orderBy(F.xxhash64("k1", F.lit(1)), "k1", "k2").limit(sample).toPandas()
     index = MultiIndex(unit(drawn["embedding"]), total, threshold, recall)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,34 +144,37 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
                 yield part.assign(home=home, cells=[[h, *c[c > h].tolist()] for h, c in zip(home.tolist(), cells)])
 
     kind = dict(distinct.dtypes)["embedding"]
-    coded = distinct.select("vec_id", "times", "embedding").mapInPandas(assign, f"vec_id long, times long, embedding {kind}, home int, cells array<int>")
+    coded = distinct.select("node", "times", "embedding").mapInPandas(assign, f"node long, times long, embedding {kind}, home int, cells array<int>")
     coded = scratch.keep(coded, "coded")
-    cells = coded.select("*", F.explode("cells").alias("cell")).drop("cells")
-    sizes = coded.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    tiled = cells.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("tiles")))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    tiled = tiled.select("cell", F.least("own", "other").alias("ta"), F.greatest("own", "other").alias("tb"), "own", F.col("home") == F.col("cell"), "vec_id", "times", "embedding").toDF("cell", "ta", "tb", "own", "is_home", "vec_id", "times", "embedding")
+    placed = coded.select("node", F.explode("cells").alias("cell"), (F.col("home") == F.col("cell")).alias("at_home"))
+    pieces = lambda c: F.ceil(c / TILE).cast("long")
+    sizes = placed.groupBy("cell").agg(pieces(F.count("*")).alias("slices"), pieces(F.sum(F.col("at_home").cast("long"))).alias("tiles")).where("tiles > 0")
+    cells = coded.select("node", "times", "embedding", "home", F.explode("cells").alias("cell")).join(sizes, "cell").withColumn("at_home", F.col("home") == F.col("cell"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), c - 1)
+    own = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), c)
+    # Where each row stands: as a member of its slice beside every tile, and if at home as a member of its tile beside every slice.
+    member = F.transform(upto(F.col("tiles")), lambda t: F.struct(F.lit(False).alias("leads"), t.alias("tile"), own(F.col("slices"), 1).alias("slice")))
+    leader = F.transform(upto(F.col("slices")), lambda s: F.struct(F.lit(True).alias("leads"), own(F.col("tiles"), 2).alias("tile"), s.alias("slice")))
+    tiled = cells.withColumn("at", F.explode(F.concat(member, F.when(F.col("at_home"), leader).otherwise(F.array().cast("array<struct<leads:boolean,tile:bigint,slice:bigint>>")))))
+    tiled = tiled.select("cell", "at.tile", "at.slice", "at.leads", "at_home", "node", "times", "embedding")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        home = group["is_home"].to_numpy(dtype=bool)
-        if not home.any() or len(group) < 2:
-            return pd.DataFrame({"vec_id": [], "n": [], "root": []}).astype("int64")
-        ta, tb = int(group["ta"].iloc[0]), int(group["tb"].iloc[0])
-        side = np.zeros(len(group), np.int8) if ta == tb else np.where(group["own"].to_numpy() == ta, 1, 2).astype(np.int8)
-        ids = group["vec_id"].to_numpy()
-        n, root = links_in_task(unit(group["embedding"]), group["times"].to_numpy(), home, side, threshold)
-        has = n > 0
-        return pd.DataFrame({"vec_id": ids[has], "n": n[has], "root": ids[root[has]]})
-
-    found = scratch.keep(tiled.groupBy("cell", "ta", "tb").applyInPandas(compare, "vec_id long, n long, root long"), "found")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    roots = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch)
-    classes = distinct.select("k1", "k2", "vec_id", "times").join(counts, "vec_id", "left").join(roots.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left")
-    classes = classes.select("k1", "k2", F.col("vec_id").alias("least"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "root").select("k1", "k2", "n_links", "component_id")
+        leads = group["leads"].to_numpy(dtype=bool)
+        if not leads.any() or leads.all():
+            return pd.DataFrame({"node": [], "n": [], "root": []}).astype("int64")
+        x, ids, times, at_home = unit(group["embedding"]), group["node"].to_numpy(), group["times"].to_numpy(), group["at_home"].to_numpy(dtype=bool)
+        n, root = links_in_task(x[leads], ids[leads], x[~leads], ids[~leads], at_home[~leads], times[~leads], times[leads], threshold)
+        both, has = np.r_[ids[leads], ids[~leads]], n > 0
+        return pd.DataFrame({"node": both[has], "n": n[has], "root": both[root[has]]})
+
+    found = scratch.keep(tiled.groupBy("cell", "tile", "slice").applyInPandas(compare, "node long, n long, root long"), "found")
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
+    classes = least_of_components(distinct.select("node", "k1", "k2", "least", "times").join(counts, "node", "left"), roots)
+    classes = classes.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
+    scratch.drop(coded)
     out = keyed.drop("embedding").join(classes, ["k1", "k2"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,11 +51,11 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
                 for piece, end in enumerate(ends):
                     rows.append((doc_id, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
                     start = end
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    # doc_id goes through as text: pandas has no integer column that holds nulls without rounding the others.
+    pieces = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def fit_patterns(histogram: np.ndarray, capacity: int, depth: int = 3, block: int = 48, rounds: int = 200) -> list[tuple[tuple[int, ...], float]]:

@@ -154,8 +154,9 @@ def detected(docs: DataFrame) -> DataFrame:
             dicts = lambda rows, names: [[dict(zip(names, r)) for r in row] for row in rows]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "base": dicts(base, ("kind", "start", "end")), "found": dicts(found, ("kind", "start", "end", "votes", "features"))})
 
-    schema = "doc_id long, base array<struct<kind:string,start:long,end:long>>, found array<struct<kind:string,start:long,end:long,votes:string,features:string>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(read, schema)
+    # doc_id goes through as text: pandas has no integer column that holds nulls without rounding the others.
+    schema = "doc_id string, base array<struct<kind:string,start:long,end:long>>, found array<struct<kind:string,start:long,end:long,votes:string,features:string>>"
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(read, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def reliabilities(votes: dict[str, int], rounds: int = 50, prior: float = 0.5) -> tuple[dict[str, float], np.ndarray]:

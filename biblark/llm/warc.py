@@ -230,13 +230,14 @@ def write_archives(made: DataFrame, path: str) -> None:
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 2) -> None:
-    ident = lambda v: None if pd.isna(v) else int(v)
+    ident = lambda v: None if v is None else int(v)
 
     def arc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for batch in batches for row in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"]))
+        rows = (row for batch in batches for row in zip(batch["page_id"], batch["url"], batch["html"]))
         yield from gathered(rows, lambda name: arc_opening(version, name), lambda row, size, name: arc_record(version, ident(row[0]), row[1], row[2], size, name))
 
-    write_archives(pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(arc, "archive binary"), path)
+    # As text: pandas has no integer column that holds nulls without rounding the others.
+    write_archives(pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), "url", "html").mapInPandas(arc, "archive binary"), path)
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
@@ -250,8 +251,9 @@ def read_archives(files: DataFrame, rows, schema: str) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                out = pd.DataFrame(list(rows(path, gzip.decompress(content))), columns=names)
-                out["page_id"] = out["page_id"].astype("Int64")
+                found = list(rows(path, gzip.decompress(content)))
+                out = pd.DataFrame(found, columns=names, dtype=object)
+                out["page_id"] = pd.array([r[0] for r in found], dtype="Int64")
                 yield out
 
     return files.mapInPandas(read, schema)

@@ -3,13 +3,15 @@
 Method: four base patterns (email, ip, card, phone) give the base spans, which
 always stay. Further candidates (secrets after a key word, written-out e-mail
 addresses, account and identity numbers, names after a title or a greeting)
-come from wide patterns. Labelers of three sorts vote on each: strict regular
-expressions, gazetteers, and words in the context to its left. The counts of
-all vote patterns, over all documents, go to expectation-maximisation, which
-estimates each labeler's reliability; its posteriors train a logistic span
-classifier on kind, shape and context features, again from counts over all
-documents. Both kinds of counts are bounded by the number of distinct patterns,
-whatever the corpus. Candidates from ``THRESHOLD`` on are added as spans.
+come from wide patterns. Labelers of three sorts vote on each: a strict regular
+expression (for or against), a gazetteer and words in the context to its left
+(for, or no vote). None of them reads what the wide pattern itself demands. The
+counts of all vote patterns, over all documents, go to expectation-maximisation,
+which estimates each labeler's reliability, kind by kind; its posteriors train a
+logistic span classifier on kind, shape and context features, again from counts
+over all documents. Both kinds of counts are bounded by the number of distinct
+patterns, whatever the corpus. Candidates from ``THRESHOLD`` on are added as
+spans.
 
 Positions count code points; ends are exclusive. Defined results: a null or
 empty text has no spans; a candidate that overlaps a base span is dropped;
@@ -21,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -66,15 +67,20 @@ STRICT = {
     "identity": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
     "name": re.compile(r"[A-ZÀ-Þ][a-zß-ÿ]{2,}\x20[A-ZÀ-Þ][a-zß-ÿ]{2,}"),
 }
+# Beginnings of published token formats, mail hosts, IBAN countries, area numbers in use, first names.
 GAZETTEER = {
-    "secret": frozenset("token secret api_key apikey api-key password passwd pwd".split()),
-    "email_text": frozenset("gmail yahoo hotmail outlook mail example proton icloud".split()),
-    "account": frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split()),
-    "identity": frozenset(),
-    "name": frozenset("anna carlos claire david elena emma hans ines jean john jose juan karl laura louis lucia maria marie martin michael paul peter pierre robert sarah sofia thomas".split()),
+    "secret": tuple("AKIA ASIA AIza ghp_ gho_ github_pat_ glpat- xoxb- xoxp- sk- sk_live_ pk_live_ rk_live_ SG. eyJ ya29. npm_ dop_v1_".split()),
+    "email_text": frozenset("aol example free gmail gmx googlemail hotmail icloud laposte live mail msn orange outlook posteo proton protonmail terra web yahoo yandex zoho".split()),
+    "account": frozenset("AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VG XK".split()),
+    "identity": frozenset(f"{n:03d}" for n in range(1, 773) if n != 666),
+    "name": frozenset("""adam albert alex alice amelie anna anne anton antonio barbara bernd carlos carmen catherine charles charlotte christian claire claude
+        daniel david dieter dolores elena elisabeth elizabeth emily emma erik eva felix fernando francisco francois frank franz frederic george hannah hans heinz
+        helga henri ines isabel jack jacques james jan jane javier jean john jorge jose joseph juan julia karl katharina klaus laura lena louis louise lucas lucia
+        luis maria marie mark marta martin mary michael michel miguel monika nicolas olivia oliver pablo patrick paul pedro peter philippe pierre rafael ramon
+        richard robert rosa sarah sofia sophie stefan susan teresa thomas ursula victor werner william wolfgang yves""".split()),
 }
 CONTEXT = {
-    "secret": re.compile(r"(?i)(?:key|secret|token|passw|pwd|credential|auth)"),
+    "secret": re.compile(r"(?i)(?:credential|auth|login|config|export|private|deploy|env\b|account|access)"),
     "email_text": re.compile(r"(?i)(?:mail|contact|write|reach|courriel|correo)"),
     "account": re.compile(r"(?i)(?:iban|account|bank|konto|compte|cuenta)"),
     "identity": re.compile(r"(?i)(?:ssn|social|security|identity|id number)"),
@@ -117,8 +123,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 
+def in_gazetteer(kind: str, value: str) -> bool:
+    if kind == "secret":
+        return value.startswith(GAZETTEER[kind])
+    if kind in ("account", "identity"):
+        return value[: 2 if kind == "account" else 3] in GAZETTEER[kind]
+    return any(w in GAZETTEER[kind] for w in re.findall(r"[\w-]+", value.lower()))
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, str]]:
-    """(kind, start, end, votes, features): votes are one of + and - for regex, gazetteer and context."""
+    """(kind, start, end, votes, features): votes are + or - of the regex, + or 0 of gazetteer and context."""
     out: list[tuple[str, int, int, str, str]] = []
     low = text.lower()
     for kind, pattern in WIDE.items():
@@ -129,18 +143,11 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
             start, end = m.span(1)
             if any(s < end and start < e for _, s, e in taken):
                 continue
-            value, left = m[1], text[max(0, start - LEFT) : start]
-            if kind == "account":
-                listed = value[:2] in GAZETTEER[kind]
-            elif kind == "identity":
-                listed = False
-            else:
-                words = re.findall(r"[\w-]+", (left if kind == "secret" else value).lower())
-                listed = any(w in GAZETTEER[kind] for w in words)
-            votes = (STRICT[kind].fullmatch(value) is not None, listed, CONTEXT[kind].search(left) is not None)
+            value, left = m[1], text[max(0, m.start() - LEFT) : m.start()]
+            votes = "-+"[STRICT[kind].fullmatch(value) is not None] + "0+"[in_gazetteer(kind, value)] + "0+"[CONTEXT[kind].search(left) is not None]
             digits = sum(c.isdigit() for c in value)
-            features = f"{kind}|{min(len(value).bit_length(), 8)}|{4 * digits // len(value)}|{int(any(c.isupper() for c in value))}|{int(len(set(value)) > 10)}|{int(left[-1:].isspace())}"
-            out.append((kind, start, end, "".join("+" if v else "-" for v in votes), features))
+            features = f"{kind}|{min(len(value).bit_length(), 8)}|{4 * digits // len(value)}|{int(any(c.isupper() for c in value))}|{int(len(set(value)) > 10)}|{int(text[start - 1 : start].isspace())}"
+            out.append((kind, start, end, votes, features))
     return out
 
 
@@ -159,24 +166,29 @@ def detected(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(read, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def reliabilities(votes: dict[str, int], rounds: int = 50, prior: float = 0.5) -> tuple[dict[str, float], np.ndarray]:
-    """Posteriors of vote patterns by expectation-maximisation over their counts, and each labeler's
-    chance of a vote given personal data and given none. Starts from labelers that are right more often than not."""
+#: Where expectation-maximisation starts, and what it is held to by ``HELD`` imagined votes of each class: the
+#: chance that a vote is for, given personal data, and given none. Labelers stay better than ``CHANCE``.
+START = (0.9, 0.1)
+HELD = 20.0
+CHANCE = 0.6
+
+
+def reliabilities(votes: dict[str, int], rounds: int = 50, balance: float = 0.5) -> tuple[dict[str, float], np.ndarray]:
+    """Posteriors of vote patterns by expectation-maximisation over their counts (two classes of a given balance,
+    labelers independent within a class, 0 being no vote), and the chance of each class and labeler that its vote is for."""
     patterns = sorted(votes)
-    x = np.array([[c == "+" for c in p] for p in patterns], dtype=float)
+    pro, con = (np.array([[c == sign for c in p] for p in patterns], dtype=float) for sign in "+-")
     n = np.array([votes[p] for p in patterns], dtype=float)
-    rate = np.array([[0.8] * x.shape[1], [0.2] * x.shape[1]])
-    share = prior
+    rate = np.repeat(np.array(START)[:, None], pro.shape[1], axis=1)
     for _ in range(rounds):
-        log = [np.log(s) + x @ np.log(r) + (1 - x) @ np.log(1 - r) for s, r in zip((share, 1 - share), rate)]
+        log = [np.log(s) + pro @ np.log(r) + con @ np.log(1 - r) for s, r in zip((balance, 1 - balance), rate)]
         yes = 1 / (1 + np.exp(np.clip(log[1] - log[0], -50, 50)))
-        for k, w in enumerate((n * yes, n * (1 - yes))):
-            rate[k] = (w @ x + (4, 1)[k]) / (w.sum() + 5)
-        share = float(np.clip((n @ yes + 1) / (n.sum() + 2), 0.05, 0.95))
+        for k, (w, low, high) in enumerate(((n * yes, CHANCE, 0.999), (n * (1 - yes), 0.001, 1 - CHANCE))):
+            rate[k] = np.clip((w @ pro + HELD * START[k]) / (w @ (pro + con) + HELD), low, high)
     return dict(zip(patterns, yes.tolist())), rate
 
 
-def span_classifier(counts: list[tuple[str, str, int]], posterior: dict[str, float], rounds: int = 300) -> dict[tuple[str, str], float]:
+def span_classifier(counts: list[tuple[str, str, int]], posterior: dict[tuple[str, str], float], rounds: int = 300) -> dict[tuple[str, str], float]:
     """Logistic regression on one-hot features and votes, trained on the posteriors as soft labels and
     weighted by counts. Returns the probability of each combination that occurs."""
     if not counts:
@@ -187,7 +199,7 @@ def span_classifier(counts: list[tuple[str, str, int]], posterior: dict[str, flo
     x[:, -1] = 1
     for row, d in enumerate(described):
         x[row, [names[n] for n in d]] = 1
-    y = np.array([posterior[votes] for _, votes, _ in counts])
+    y = np.array([posterior[kind_of(f), votes] for f, votes, _ in counts])
     weight = np.array([c for _, _, c in counts], dtype=float)
     weight /= weight.sum()
     w = np.zeros(x.shape[1])
@@ -202,11 +214,22 @@ def chosen_candidates(seen: DataFrame, threshold: float = THRESHOLD) -> list[str
     """Which combinations of features and votes count as personal data, learned from ``seen`` as a whole."""
     counted = seen.select(F.explode("found").alias("c")).groupBy("c.features", "c.votes").agg(F.count("*").alias("n")).orderBy("features", "votes")
     counts = [(r["features"], r["votes"], r["n"]) for r in counted.collect()]
-    votes: dict[str, int] = reduce(lambda d, c: d | {c[1]: d.get(c[1], 0) + c[2]}, counts, {})
-    posterior, _ = reliabilities(votes) if votes else ({}, None)
+    posterior = {(kind, v): p for kind in WIDE for v, p in posteriors_of(kind, counts).items()}
     return sorted(f"{f}|{v}" for (f, v), p in span_classifier(counts, posterior).items() if p >= threshold)
 
 
+def posteriors_of(kind: str, counts: list[tuple[str, str, int]]) -> dict[str, float]:
+    votes: dict[str, int] = {}
+    for f, v, n in counts:
+        if kind_of(f) == kind:
+            votes[v] = votes.get(v, 0) + n
+    return reliabilities(votes)[0] if votes else {}
+
+
+def kind_of(features: str) -> str:
+    return features.split("|", 1)[0]
+
+
 def find_personal_data(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, base, added): arrays of (kind, start, end) per row of ``docs``."""
     seen = Scratch(spark, "pii").keep(detected(docs), "detected")

@@ -9,8 +9,9 @@ on the driver on at most ``SAMPLE`` labelled rows (least hash of doc_id, texts
 of at most ``SAMPLE_BYTES`` bytes); scoring covers whole texts, in Arrow
 batches, in bounded blocks.
 
-Defined results: a null or empty text is scored as an empty byte string; with
-no labelled rows every score is 0.5; repeated rows are scored one by one.
+Defined results: a null or empty text is scored as an empty byte string; labels
+other than 0 and 1 are no labels; with no labelled rows every score is 0.5;
+repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def fold(column: str = "doc_id", folds: int = FOLDS):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, rows: int, most_bytes: int) -> pd.DataFrame:
     """Texts and labels of at most ``rows`` training rows. The ids are drawn from the labels alone, so
     only a bounded table is joined with the texts."""
-    drawn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(train & F.col("label").isNotNull()).dropDuplicates(["doc_id"])
+    drawn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(train & F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= most_bytes)
     return texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)

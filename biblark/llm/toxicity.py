@@ -12,9 +12,13 @@ of the marks are learned on the driver from at most ``SAMPLE`` labelled rows
 are fitted across two halves, so that no document is weighed by a lexicon that
 saw it. Scoring covers whole texts.
 
+A lone insult matches a clause of its own kind, with a learned weight: the labels
+call documents toxic whose insults name no target (README gives figures).
+
 Defined results: a null or empty text has no clauses and gets the score of a
-document without marks; with no labelled rows the built-in lexicon and weights
-are used; repeated rows are scored one by one.
+document without marks; labels other than 0 and 1 are no labels, and of several
+for one document any one counts; with no labelled rows the built-in lexicon and
+weights are used; repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -142,7 +146,7 @@ def learned_lexicon(texts: list[str], labels: np.ndarray, least: int = 4, weight
     toxic, clean = int(labels.sum()), int((1 - labels).sum())
     odds = lambda w: float(np.log((seen[1][w] + 0.5) / (toxic + 1)) - np.log((seen[0][w] + 0.5) / (clean + 1)))
     words = {w: odds(w) for w, n in seen[1].items() if n >= least and w[-1] != "*" and odds(w) >= weight}
-    stems = {w[:-1]: odds(w) / 2 for w, n in seen[1].items() if n >= 2 * least and w[-1] == "*" and odds(w) >= weight and len(kinds[w[:-1]]) >= 3}
+    stems = {w[:-1]: odds(w) / 2 for w, n in seen[1].items() if n >= least and w[-1] == "*" and odds(w) >= weight and len(kinds[w[:-1]]) >= 3}
     for w in WORDS[INSULT]:
         words.setdefault(w, max(BUILT_IN_WEIGHT + min(0.0, odds(w)), 0.0) if seen[0][w] > 2 else BUILT_IN_WEIGHT)
     return words, stems

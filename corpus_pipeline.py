@@ -2,6 +2,12 @@
 
 Each stage gets all rows that the stage before it kept and is written as
 Parquet and read again, so that a lost executor costs no earlier stage.
+
+Defined results, for all stages: rows without doc_id are read like others; null
+and empty texts are scored as empty, are near copies of each other, hold no
+benchmark passage and no personal data, and become one token; repeated rows are
+near copies of each other; further columns stay, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +31,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold benchmark passages."""
-    leaks = decontaminate.contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
+    """Drops documents that hold benchmark passages. Texts are named by their hash: of rows that share a doc_id only
+    those with a contaminated text go."""
     leak = fresh(docs, "_leak")
-    ids = leaks.select(F.col("doc_id").alias(leak)).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(leak)), "left_anti")
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = decontaminate.contaminated(spark, texts, table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select(F.col("doc_id").alias(leak)).distinct(), F.xxhash64(docs["text"]) == F.col(leak), "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,12 +7,17 @@ of ``MASKS`` masks of ``BITS`` bits; a fixed number of bits keeps the recall
 the same at every size. Every link is then verified exactly, so the fingerprints
 can miss a link but never make one.
 
-Search in two passes. First each text meets the nearest earlier candidate of
-all its buckets; the verified ones of these edges, at most one a text, make
-components. Then all pairs of candidates from different components are
-verified. Only pairs that are connected already go unread, so nothing is lost
-between the passes. A bucket of more than ``TILE`` texts is cut into tiles, and
-every pair of tiles is compared on its own.
+Search in passes. First each text meets the nearest earlier candidate of each of
+its buckets, at most ``MASKS`` pairs a text; the verified ones make components.
+Then the same again with the nearest candidates of other components. Last, all
+pairs of candidates from different components are verified. Only pairs that are
+connected already go unread, so nothing is lost between the passes, and a group
+of near copies costs pairs in proportion to its size as far as its members are
+linked. Texts whose numbers of shingles rule out the similarity are no candidates.
+Before candidates meet their shingles, SimHash fingerprints of ``WIDE`` bits drop
+those that a similarity of ``SIMILAR`` lets come so far apart about once in 30,000
+times. A bucket of more than ``TILE`` texts is cut into tiles, and every pair of
+tiles is compared on its own.
 
 Defined results: texts without words are copies of each other; texts equal in
 words, apart from the case of A-Z, are one node, named by a 64-bit hash.
@@ -21,6 +26,7 @@ words, apart from the case of A-Z, are one node, named by a 64-bit hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +43,7 @@ BITS = 10
 SEED = 42
 TILE = 32768
 ROWS = 128
+WIDE = 1024
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,13 +55,41 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> set[bytes]:
     return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
 
 
-def similarity(a: str | None, b: str | None) -> float:
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y) if x or y else 1.0
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The set of shingles as sorted 64-bit hashes."""
+    from xxhash import xxh3_64_intdigest
 
+    return np.unique(np.array([xxh3_64_intdigest(g) for g in shingles(text)], dtype=np.uint64))
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int, int, int]:
-    """(node, f1, f2), signed: a hash of the words and the two halves of the fingerprint of the set of shingles."""
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both / (len(a) + len(b) - both)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``WIDE`` bits as signed 64-bit words, from the hashes of the shingles."""
+    out = np.zeros(WIDE // 64, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for k in range(len(out)):
+            x = hashes + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            out[k] = np.packbits(2 * bits > len(hashes)).view(np.int64)[0]
+    return out
+
+
+def wide_radius(least: float) -> int:
+    """Four standard deviations beyond the bits in which sets of that Jaccard similarity differ on average."""
+    share = np.arccos(2 * least / (1 + least)) / np.pi
+    return int(np.ceil(WIDE * share + 4 * np.sqrt(WIDE * share * (1 - share))))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int, int, int, int]:
+    """(node, f1, f2, size), signed: a hash of the words, the two halves of the fingerprint of the set of shingles, and its size."""
     from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
     grams = list(shingles(text, shingle))
@@ -63,7 +98,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> t
         hashes = np.frombuffer(b"".join(xxh3_128_digest(g, seed) for g in grams[k : k + 16384]), dtype=np.uint8).reshape(-1, 16)
         total += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
     f = np.packbits(2 * total > len(grams)).view(np.int64)
-    return int(np.uint64(xxh3_64_intdigest(b" ".join(words_of(text)), seed)).view(np.int64)), int(f[0]), int(f[1])
+    return int(np.uint64(xxh3_64_intdigest(b" ".join(words_of(text)), seed)).view(np.int64)), int(f[0]), int(f[1]), len(grams)
 
 
 def masks(count: int = MASKS, bits: int = BITS, seed: int = SEED) -> list[tuple[int, int]]:
@@ -77,36 +112,38 @@ def masks(count: int = MASKS, bits: int = BITS, seed: int = SEED) -> list[tuple[
     return out
 
 
-def pairs_in_bucket(node: np.ndarray, f1: np.ndarray, f2: np.ndarray, side: np.ndarray, comp: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, distance) within the radius, a before b in the order given. With ``comp`` all pairs of different
-    components, without it the nearest a of each b. ``side``: 0 all against all, 1 against 2 where two tiles meet."""
-    size, places = len(node), np.arange(len(node))
-    least, best = np.full(size, 255, dtype=np.uint8), np.zeros(size, dtype=np.int64)
+def pairs_in_bucket(rows: dict[str, np.ndarray], radius: int, least: float, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) within the radius, a before b in the order given, of different components if there is ``comp``: all, or
+    the nearest a of each b. ``side``: 0 all against all, 1 against 2 where two tiles meet."""
+    node, f1, f2, side, comp, set_size = (rows.get(c) for c in ("node", "f1", "f2", "side", "comp", "set_size"))
+    count, places = len(node), np.arange(len(node))
+    low, best = np.full(count, 255, dtype=np.uint8), np.zeros(count, dtype=np.int64)
     found = []
-    for i in range(0, size, ROWS):
-        rows = slice(i, i + ROWS)
-        d = np.bitwise_count(f1[rows, None] ^ f1[None, i:]) + np.bitwise_count(f2[rows, None] ^ f2[None, i:])
-        near = (d <= radius) & (places[rows, None] < places[None, i:]) & ((side[rows, None] == 0) | (side[rows, None] != side[None, i:]))
+    for i in range(0, count, ROWS):
+        a = slice(i, i + ROWS)
+        d = np.bitwise_count(f1[a, None] ^ f1[None, i:]) + np.bitwise_count(f2[a, None] ^ f2[None, i:])
+        near = (d <= radius) & (places[a, None] < places[None, i:]) & ((side[a, None] == 0) | (side[a, None] != side[None, i:]))
+        near &= (set_size[a, None] >= least * set_size[None, i:]) & (set_size[None, i:] >= least * set_size[a, None])
         if comp is not None:
-            near &= comp[rows, None] != comp[None, i:]
-            a, b = np.nonzero(near)
-            found.append((node[a + i], node[b + i], d[a, b]))
-        else:
+            near &= comp[a, None] != comp[None, i:]
+        if nearest:
             d = np.where(near, d, 255)
             first = d.argmin(axis=0)
             value = d[first, np.arange(d.shape[1])]
-            better = np.flatnonzero(value < least[i:])
-            least[i + better], best[i + better] = value[better], first[better] + i
-    if comp is not None:
-        return tuple(np.concatenate(x) for x in zip(*found))
-    b = np.flatnonzero(least < 255)
-    return node[best[b]], node[b], least[b]
-
-
-def candidates(texts: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b, d) from ``texts`` (node, f1, f2 and, in the second pass, comp)."""
-    second = "comp" in texts.columns
-    carried = ["node", "f1", "f2", *(["comp"] if second else [])]
+            better = np.flatnonzero(value < low[i:])
+            low[i + better], best[i + better] = value[better], first[better] + i
+        else:
+            r, c = np.nonzero(near)
+            found.append((node[r + i], node[c + i]))
+    if nearest:
+        b = np.flatnonzero(low < 255)
+        return node[best[b]], node[b]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def candidates(texts: DataFrame, nearest: bool, radius: int = RADIUS, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
+    """Distinct (a, b) from ``texts`` (node, f1, f2, set_size and, in later passes, comp)."""
+    carried = [c for c in ("node", "f1", "f2", "set_size", "comp") if c in texts.columns]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("f1").bitwiseAND(F.lit(m)), F.col("f2").bitwiseAND(F.lit(n))) for i, (m, n) in enumerate(masks())])
     keyed = texts.select(*carried, F.explode(keys).alias("v"))
     # Large buckets are at most as many as rows by the tile size, and as masks by 2 ** BITS.
@@ -133,68 +170,71 @@ def candidates(texts: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
             if held:
                 rows = pd.concat(held, ignore_index=True)
                 if len(rows):
-                    key, node, side = rows["k"].to_numpy(), rows["node"].to_numpy(), rows["side"].to_numpy()
-                    f1, f2 = rows["f1"].to_numpy().view(np.uint64), rows["f2"].to_numpy().view(np.uint64)
-                    comp = rows["comp"].to_numpy() if second else None
+                    key = rows["k"].to_numpy()
+                    columns = {c: rows[c].to_numpy() for c in ("side", *carried)}
+                    columns |= {c: columns[c].view(np.uint64) for c in ("f1", "f2")}
                     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                    parts = []
-                    for s, e in zip(starts, np.r_[starts[1:], len(key)]):
-                        if e - s > 1:
-                            parts.append(pairs_in_bucket(node[s:e], f1[s:e], f2[s:e], side[s:e], comp[s:e] if second else None, radius))
+                    parts = [pairs_in_bucket({c: v[s:e] for c, v in columns.items()}, radius, least, nearest) for s, e in zip(starts, np.r_[starts[1:], len(key)]) if e - s > 1]
                     if parts:
-                        a, b, d = (np.concatenate(x) for x in zip(*parts))
-                        yield pd.DataFrame({"a": a, "b": b, "d": d.astype(np.int32)})
+                        a, b = (np.concatenate(x) for x in zip(*parts))
+                        yield pd.DataFrame({"a": a, "b": b})
             if batch is done:
                 return
             held = [batch.iloc[cut:]]
 
-    return rows.repartition("k").sortWithinPartitions("k", "node").mapInPandas(compare, "a long, b long, d int")
+    return rows.repartition("k").sortWithinPartitions("k", "node").mapInPandas(compare, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingles are similar; ``texts`` has node and text."""
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingles are similar; ``sets`` has node, its shingle hashes as bytes and the wide fingerprint."""
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) >= least for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(a, b)], dtype=bool)
+
+    def beside(df: DataFrame, column: str) -> DataFrame:
+        for c in ("a", "b"):
+            df = df.join(sets.select(F.col("node").alias(c), F.col(column).alias(f"_{c}")), c)
+        return df
 
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("_ta")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_tb")), "b")
-    return both.where(similar("_ta", "_tb")).select("a", "b")
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.get("_a", F.lit(k)).bitwiseXOR(F.get("_b", F.lit(k)))) for k in range(WIDE // 64)))
+    close = beside(pairs, "wide").where(apart <= wide_radius(least)).select("a", "b")
+    return beside(close, "hashes").where(similar("_a", "_b")).select("a", "b")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, least: float = SIMILAR, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(node, doc_id, text_hash, root) per row of ``docs`` (doc_id, text, text_hash); root names the group."""
     scratch = Scratch(spark, "near-copies")
 
-    @F.pandas_udf("node long, f1 long, f2 long")
+    @F.pandas_udf("node long, f1 long, f2 long, set_size long")
     def marked(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fingerprint(t) for t in texts], columns=["node", "f1", "f2"], dtype=np.int64)
+        return pd.DataFrame([fingerprint(t) for t in texts], columns=["node", "f1", "f2", "set_size"], dtype=np.int64)
+
+    @F.pandas_udf("hashes binary, wide array<long>")
+    def hashed(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_hashes(t) for t in texts]
+        return pd.DataFrame({"hashes": [h.tobytes() for h in sets], "wide": [wide_fingerprint(h) for h in sets]})
 
     marks = scratch.keep(docs.select("doc_id", "text_hash", marked("text").alias("m")).select("doc_id", "text_hash", "m.*"), "marks")
-    nodes = scratch.keep(marks.groupBy("node").agg(F.min("f1").alias("f1"), F.min("f2").alias("f2"), F.min(F.struct("doc_id", "text_hash")).alias("of")), "nodes")
+    nodes = scratch.keep(marks.groupBy("node").agg(F.min("f1").alias("f1"), F.min("f2").alias("f2"), F.min("set_size").alias("set_size"), F.min(F.struct("doc_id", "text_hash")).alias("of")), "nodes")
 
-    def named(pairs: DataFrame) -> DataFrame:
-        """(node, text) of the nodes in ``pairs``: the text of one row of each."""
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(node, hashes, wide) of the nodes in ``pairs``: from the text of one row of each."""
         needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         one = nodes.join(needed, "node").select("node", F.col("of.doc_id").alias("_i"), F.col("of.text_hash").alias("_h"))
         same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h"))
-        return docs.join(one, same).select("node", "text").dropDuplicates(["node"])
-
-    def links(found: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.keep(found, f"{name}-pairs")
-        texts = scratch.keep(named(pairs), f"{name}-texts")
-        kept = scratch.keep(verified(pairs, texts, least), f"{name}-links")
-        scratch.drop(texts)
-        return kept
-
-    fps = nodes.select("node", "f1", "f2")
-    nearest = candidates(fps, radius, tile).groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
-    first = links(nearest, "nearest")
-    comps = connected_components(first, scratch)
-    placed = fps.join(comps, "node", "left").select("node", "f1", "f2", F.coalesce("root", "node").alias("comp"))
-    second = links(candidates(placed, radius, tile).select("a", "b").distinct(), "other")
-    roots = connected_components(first.unionByName(second), scratch)
+        return docs.join(one, same).select("node", "text").dropDuplicates(["node"]).select("node", hashed("text").alias("h")).select("node", "h.*")
+
+    fps = nodes.select("node", "f1", "f2", "set_size")
+    links: list[DataFrame] = []
+    roots = None
+    for step in ("nearest", "other-nearest", "other"):
+        placed = fps if roots is None else fps.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        pairs = scratch.keep(candidates(placed, step != "other", radius, least, tile), f"{step}-pairs")
+        sets = scratch.keep(sets_of(pairs), f"{step}-sets")
+        links.append(scratch.keep(verified(pairs, sets, least), f"{step}-links"))
+        scratch.drop(pairs, sets)
+        roots = connected_components(reduce(DataFrame.unionByName, links), scratch)
     return marks.join(roots, "node", "left").select("node", "doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 

@@ -9,14 +9,13 @@ can miss a link but never make one.
 
 Search in passes. First each text meets the nearest earlier candidate of each of
 its buckets, at most ``MASKS`` pairs a text; the verified ones make components.
-Then the same again with the nearest candidates of other components. Last, all
-pairs of candidates from different components are verified. Only pairs that are
-connected already go unread, so nothing is lost between the passes, and a group
-of near copies costs pairs in proportion to its size as far as its members are
-linked. Texts whose numbers of shingles rule out the similarity are no candidates.
-Before candidates meet their shingles, SimHash fingerprints of ``WIDE`` bits drop
-those that a similarity of ``SIMILAR`` lets come so far apart about once in 30,000
-times. A bucket of more than ``TILE`` texts is cut into tiles, and every pair of
+Then the same again with the nearest candidates of other components, earlier and
+later ones. Last, the texts that have any are compared once more, all against all
+of other components, by SimHash fingerprints of ``WIDE`` bits: a similarity of
+``SIMILAR`` comes further apart than the radius about once in 30,000 times. Only
+what passes leaves a task, so a group whose members are connected, or plainly
+unlike, makes no pairs by its square. Texts whose numbers of shingles rule out the
+similarity are no candidates. A bucket of more than ``TILE`` texts is cut into tiles, and every pair of
 tiles is compared on its own.
 
 Defined results: texts without words are copies of each other; texts equal in
@@ -83,9 +82,9 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def wide_radius(least: float) -> int:
-    """Four standard deviations beyond the bits in which sets of that Jaccard similarity differ on average."""
+    """Three standard deviations beyond the bits in which sets of that Jaccard similarity differ on average."""
     share = np.arccos(2 * least / (1 + least)) / np.pi
-    return int(np.ceil(WIDE * share + 4 * np.sqrt(WIDE * share * (1 - share))))
+    return int(np.ceil(WIDE * share + 3 * np.sqrt(WIDE * share * (1 - share))))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int, int, int, int]:
@@ -112,9 +111,15 @@ def masks(count: int = MASKS, bits: int = BITS, seed: int = SEED) -> list[tuple[
     return out
 
 
+def close_enough(wide: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs of rows come within the radius, some at a time."""
+    parts = [np.bitwise_count(wide[a[k : k + 65536]] ^ wide[b[k : k + 65536]]).sum(axis=1, dtype=np.int64) <= radius for k in range(0, len(a), 65536)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
+
+
 def pairs_in_bucket(rows: dict[str, np.ndarray], radius: int, least: float, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) within the radius, a before b in the order given, of different components if there is ``comp``: all, or
-    the nearest a of each b. ``side``: 0 all against all, 1 against 2 where two tiles meet."""
+    """(a, b) within the radius, a before b in the order given, of different components if there is ``comp``: all
+    whose wide fingerprints come close too, or the nearest a of each b, and with ``comp`` the nearest b of each a. ``side``: 0 all against all, 1 against 2 where two tiles meet."""
     node, f1, f2, side, comp, set_size = (rows.get(c) for c in ("node", "f1", "f2", "side", "comp", "set_size"))
     count, places = len(node), np.arange(len(node))
     low, best = np.full(count, 255, dtype=np.uint8), np.zeros(count, dtype=np.int64)
@@ -132,18 +137,23 @@ def pairs_in_bucket(rows: dict[str, np.ndarray], radius: int, least: float, near
             value = d[first, np.arange(d.shape[1])]
             better = np.flatnonzero(value < low[i:])
             low[i + better], best[i + better] = value[better], first[better] + i
+            if comp is not None:
+                last = d.argmin(axis=1)
+                has = np.flatnonzero(d[np.arange(len(d)), last] < 255)
+                found.append((node[has + i], node[last[has] + i]))
         else:
             r, c = np.nonzero(near)
-            found.append((node[r + i], node[c + i]))
+            good = close_enough(rows["wide"], r + i, c + i, wide_radius(least))
+            found.append((node[r[good] + i], node[c[good] + i]))
     if nearest:
         b = np.flatnonzero(low < 255)
-        return node[best[b]], node[b]
+        found.append((node[best[b]], node[b]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def candidates(texts: DataFrame, nearest: bool, radius: int = RADIUS, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
     """Distinct (a, b) from ``texts`` (node, f1, f2, set_size and, in later passes, comp)."""
-    carried = [c for c in ("node", "f1", "f2", "set_size", "comp") if c in texts.columns]
+    carried = [c for c in ("node", "f1", "f2", "set_size", "comp", *([] if nearest else ["wide"])) if c in texts.columns]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("f1").bitwiseAND(F.lit(m)), F.col("f2").bitwiseAND(F.lit(n))) for i, (m, n) in enumerate(masks())])
     keyed = texts.select(*carried, F.explode(keys).alias("v"))
     # Large buckets are at most as many as rows by the tile size, and as masks by 2 ** BITS.
@@ -173,6 +183,8 @@ def candidates(texts: DataFrame, nearest: bool, radius: int = RADIUS, least: flo
                     key = rows["k"].to_numpy()
                     columns = {c: rows[c].to_numpy() for c in ("side", *carried)}
                     columns |= {c: columns[c].view(np.uint64) for c in ("f1", "f2")}
+                    if "wide" in columns:
+                        columns["wide"] = np.stack(columns["wide"]).view(np.uint64)
                     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                     parts = [pairs_in_bucket({c: v[s:e] for c, v in columns.items()}, radius, least, nearest) for s, e in zip(starts, np.r_[starts[1:], len(key)]) if e - s > 1]
                     if parts:
@@ -227,14 +239,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, least: float = SIMILAR, ra
 
     fps = nodes.select("node", "f1", "f2", "set_size")
     links: list[DataFrame] = []
-    roots = None
+    sets = None
     for step in ("nearest", "other-nearest", "other"):
-        placed = fps if roots is None else fps.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-        pairs = scratch.keep(candidates(placed, step != "other", radius, least, tile), f"{step}-pairs")
-        sets = scratch.keep(sets_of(pairs), f"{step}-sets")
+        if links:
+            roots = connected_components(reduce(DataFrame.unionByName, links), scratch)
+            fps = nodes.select("node", "f1", "f2", "set_size").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        if step == "other":  # whoever has a candidate in another component had one in the pass before
+            fps = fps.join(sets.select("node", "wide"), "node")
+        pairs = scratch.keep(candidates(fps, step != "other", radius, least, tile), f"{step}-pairs")
+        sets = sets if step == "other" else scratch.keep(sets_of(pairs), f"{step}-sets")
         links.append(scratch.keep(verified(pairs, sets, least), f"{step}-links"))
-        scratch.drop(pairs, sets)
-        roots = connected_components(reduce(DataFrame.unionByName, links), scratch)
+        scratch.drop(pairs)
+    roots = connected_components(reduce(DataFrame.unionByName, links), scratch)
     return marks.join(roots, "node", "left").select("node", "doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 

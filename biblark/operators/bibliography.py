@@ -153,7 +153,21 @@ def bibtex_record(entry: dict) -> dict | None:
             given, _, family = name.rpartition(" ")
         if given.strip() or family.strip():
             names.append({"given": given.strip() or None, "family": family.strip() or None})
-    return {"title": f.get("title") or None, "doi": f.get("doi") or None, "url": f.get("url"), "year": first_year(f.get("year") or f.get("date")), "venue": f.get("journal") or f.get("booktitle"), "abstract": f.get("abstract"), "authors": names, "keywords": unique([w.strip() for w in re.split("[,;]", f.get("keywords", "")) if w.strip()]), "files": [], "key": entry["key"]}
+    return {"title": f.get("title") or None, "doi": f.get("doi") or None, "url": f.get("url"), "year": first_year(f.get("year") or f.get("date")), "venue": f.get("journal") or f.get("booktitle"), "abstract": f.get("abstract"), "authors": names, "keywords": unique([w.strip() for w in re.split("[,;]", f.get("keywords", "")) if w.strip()]), "files": attached(f.get("file", "")), "key": entry["key"]}
+
+
+def attached(field: str) -> list[str]:
+    """PDF paths of a ``file`` field: entries between semicolons, each a path, ``path:type`` or ``description:path:type``;
+    a backslash protects the character after it. A drive letter starts a path wherever it stands."""
+    found = []
+    for entry in re.findall(r"(?:\\.|[^;\\])+", field, re.S):
+        path = re.sub(r"\\([\\:])", r"\1", entry).strip()
+        path = re.sub(r"(?i)(?::application/pdf|:pdf)$", "", path).strip()
+        drive = re.search(r"(?<![A-Za-z0-9])[A-Za-z]:[\\/]", path)
+        path = path[drive.start() :] if drive else path if path.startswith("/") else path.rpartition(":")[2]
+        if path.strip().lower().endswith(".pdf"):
+            found.append(path.strip())
+    return found
 
 
 def format_of(name: str, text: str) -> str:
@@ -205,17 +219,56 @@ def suffix(n: Column) -> Column:
     return F.when(n == 0, "").when(n < 25, F.char(F.lit(97) + n)).otherwise((n + 1).cast("string"))
 
 
-def assigned_keys(docs: DataFrame) -> DataFrame:
-    """(id, key) for documents with a first author, in order of id; equal base keys get suffixes. Two bases
-    whose suffixed keys coincide (one base is another and a letter) would need a second pass; see ``taken``."""
-    base = docs.where(F.trim("family") != "").select("id", base_key(F.col("family"), F.col("year"), F.col("title")).alias("base"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("id")) - 1
-    return base.withColumn("n", n).select("id", F.concat("base", suffix(F.col("n"))).alias("key"))
-
-
-def taken(keys: DataFrame) -> DataFrame:
-    """Keys that more than one document holds."""
-    return keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+def bases_behind(key: Column, least: int = 26) -> Column:
+    """Every (base, n) whose n-th key is ``key``: the key itself, the key without a last letter b to y, or without a
+    last number of ``least`` or more."""
+    row = lambda base, n: F.struct(base.alias("base"), n.cast("int").alias("n"))
+    none = F.array().cast("array<struct<base:string,n:int>>")
+    last = F.right(key, F.lit(1))
+    letter = F.when(last.between("b", "y") & (F.length(key) > 1), F.array(row(F.substring(key, F.lit(1), F.length(key) - 1), F.ascii(last) - 97)))
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(9), F.length(key) - 1)), lambda k: F.struct(F.substring(key, F.lit(1), F.length(key) - k).alias("base"), F.right(key, k).alias("end")))
+    numbers = F.transform(F.filter(ends, lambda e: e["end"].rlike("^[1-9][0-9]*$") & (e["end"].try_cast("int") >= least)), lambda e: row(e["base"], e["end"].cast("int") - 1))
+    return F.concat(F.array(row(key, F.lit(0))), F.coalesce(letter, none), F.when(F.length(key) > 1, numbers).otherwise(none))
+
+
+def assigned_keys(docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(id, key) for ``docs`` (id, family, year, title) with a first author: in order of id each gets its base key with
+    the lowest suffix that no other document holds, of ``docs`` or of ``held`` (citekey), which has those in the trash
+    too. Bases that no other base extends by what may be a suffix are numbered in windows of their own; the few others
+    are numbered one after the other, apart by first character."""
+    based = docs.where(F.trim("family") != "").select("id", base_key(F.col("family"), F.col("year"), F.col("title")).alias("base"))
+    bases = based.select("base").distinct()
+    used = held.where("citekey IS NOT NULL").select("citekey").distinct() if held is not None else bases.limit(0).toDF("citekey")
+    taken = used.select(F.explode(bases_behind(F.col("citekey"))).alias("t")).select("t.*").join(bases, "base").distinct()
+
+    behind = bases.select(F.col("base").alias("longer"), F.explode(bases_behind(F.col("base"), 1)).alias("t")).where("t.base <> longer")
+    pairs = behind.select("longer", F.col("t.base").alias("base")).join(bases, "base")
+    mixed = pairs.select("base").unionByName(pairs.select(F.col("longer").alias("base"))).distinct()
+
+    # The r-th free number is r and the number of taken ones t (the i-th from 0) with t - i <= r.
+    by_id, by_n = (Window.partitionBy("base").orderBy(c) for c in ("id", "n"))
+    alone = based.join(mixed, "base", "left_anti").withColumn("v", F.row_number().over(by_id) - 1)
+    gaps = taken.select("base", (F.col("n") - F.row_number().over(by_n) + 1).alias("v"), F.lit(None).cast("long").alias("id"))
+    both = alone.select("base", "v", F.col("id").cast("long").alias("id")).unionByName(gaps)
+    before = F.sum(F.col("id").isNull().cast("int")).over(Window.partitionBy("base").orderBy("v", F.col("id").isNotNull(), "id").rowsBetween(Window.unboundedPreceding, 0))
+    free = both.withColumn("n", F.col("v") + before).where("id IS NOT NULL").select("id", F.concat("base", suffix(F.col("n"))).alias("key"))
+
+    def one_after_the_other(group: pd.DataFrame) -> pd.DataFrame:
+        keys = set(group.loc[group["id"].isna(), "base"])
+        rows, following = group[group["id"].notna()].sort_values("id"), {}
+        out = []
+        for base in rows["base"]:
+            n = following.get(base, 0)
+            while (key := base + ("" if n == 0 else chr(97 + n) if n < 25 else str(n + 1))) in keys:
+                n += 1
+            following[base] = n + 1
+            keys.add(key)
+            out.append(key)
+        return pd.DataFrame({"id": rows["id"].astype("int64"), "key": out})
+
+    entwined = based.join(mixed, "base").select(F.col("id").cast("long").alias("id"), "base")
+    theirs = taken.join(mixed, "base").select(F.lit(None).cast("long").alias("id"), F.concat("base", suffix(F.col("n"))).alias("base")).distinct()
+    return free.unionByName(entwined.unionByName(theirs).groupBy(F.left("base", F.lit(1))).applyInPandas(one_after_the_other, "id long, key string"))
 
 
 def named(authors: Column, join: str) -> Column:
@@ -270,6 +323,24 @@ def ieee(number: Column, d: DataFrame) -> Column:
     return F.concat(F.lit("["), number.cast("string"), F.lit("] "), who, F.lit(', "'), none(d["title"]), F.lit(',"'), none(optional(" ", d["venue"], ",")), none(optional(" ", d["year"], ".")), none(optional(" doi: ", d["doi"], ".")))
 
 
+def numbered(items: DataFrame, parts: int = 64) -> DataFrame:
+    """``items`` with number, from 1 in order of id: ranges of ids are counted, then numbered on their own."""
+    marks = items.approxQuantile("id", [k / parts for k in range(1, parts)], 0.001)
+    edges = F.array(*[F.lit(float(m)) for m in sorted(set(marks))]).cast("array<double>")
+    placed = items.withColumn("_range", F.size(F.filter(edges, lambda m: m < F.col("id"))))
+    counts = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}  # at most ``parts`` rows
+    before = {k: sum(n for j, n in counts.items() if j < k) for k in counts}
+    offset = F.coalesce(*[F.when(F.col("_range") == k, F.lit(n)) for k, n in sorted(before.items())], F.lit(0))
+    return placed.withColumn("number", F.row_number().over(Window.partitionBy("_range").orderBy("id")) + offset).drop("_range")
+
+
+def cited_together(keys: DataFrame, group: str) -> DataFrame:
+    """(group, latex, pandoc) from ``keys`` (group, id, key): one citation command for the list of each group, in order of id."""
+    listed = keys.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "key"))), lambda s: s["key"]).alias("k"))
+    pandoc = F.array_join(F.transform("k", lambda k: F.concat(F.lit("@"), k)), "; ")
+    return listed.select(group, F.concat(F.lit("\\cite{"), F.array_join("k", ","), F.lit("}")).alias("latex"), F.concat(F.lit("["), pandoc, F.lit("]")).alias("pandoc"))
+
+
 def plain_bibtex(d: DataFrame) -> Column:
     """The headless exporter's dialect: @misc without a venue, escaped fields, trailing commas, doc{id} as last key."""
     family = F.trim(F.get(d["authors"], 0)["family"])

@@ -197,3 +197,9 @@ def daily_pick(lib: Library, day: int) -> DataFrame:
             return inside.orderBy("id").offset(wanted).limit(1)
         wanted -= row["count"]
     return pool.limit(0)
+
+
+def thin_metadata(lib) -> DataFrame:
+    """(id) of live documents without a title, a year or an author."""
+    thin = lib.live.join(lib.document_authors.select(F.col("document_id").alias("id"), F.lit(True).alias("_has")).distinct(), "id", "left")
+    return thin.where("title IS NULL OR trim(title) = '' OR year IS NULL OR _has IS NULL").select("id")

@@ -21,19 +21,19 @@ def existing(docs: DataFrame, arriving: DataFrame) -> DataFrame:
 
 
 def import_decisions(docs: DataFrame, arriving: DataFrame, passive: bool = False) -> DataFrame:
-    """(path, file_hash, decision, id): new, duplicate or restore. A live document of the same path or content
-    makes a duplicate; without one, a trashed document of the path, then of the content, is restored, but not
-    by a passive import. Of arriving files with equal content the first path counts, the rest are duplicates."""
+    """(path, file_hash, decision, id): new, duplicate or restore. A trashed document of the same path is restored,
+    whatever else holds the content; one of the same content only if no live document has the path or the content.
+    A passive import restores nothing. Otherwise whoever holds the path, then the content, makes a duplicate. Of
+    arriving files with equal content the first path counts, the rest are duplicates."""
     live, gone = F.col("deleted_at").isNull(), F.col("deleted_at").isNotNull()
-    pick = lambda key, test, name: docs.where(test).groupBy(key).agg(F.min("id").alias(name))
-    out = arriving.join(pick("path", live, "live_path"), "path", "left").join(pick("path", gone, "gone_path"), "path", "left")
-    out = out.join(pick("file_hash", live, "live_hash"), "file_hash", "left").join(pick("file_hash", gone, "gone_hash"), "file_hash", "left")
-    firsts = arriving.groupBy("file_hash").agg(F.min("path").alias("first_path"))
-    out = out.join(firsts, "file_hash", "left")
-    held, trashed = F.coalesce("live_path", "live_hash"), F.coalesce("gone_path", "gone_hash")
-    restore = trashed.isNotNull() & F.lit(not passive)
-    decision = F.when(held.isNotNull(), "duplicate").when(restore, "restore").when(trashed.isNotNull(), "duplicate").when(F.col("path") == F.col("first_path"), "new").otherwise("duplicate")
-    return out.select("path", "file_hash", decision.alias("decision"), F.coalesce(held, trashed).alias("id"))
+    sides = lambda key, name: docs.groupBy(key).agg(F.min("id").alias(f"any_{name}"), F.min(F.when(live, F.col("id"))).alias(f"live_{name}"), F.min(F.when(gone, F.col("id"))).alias(f"gone_{name}"))
+    out = arriving.join(sides("path", "path"), "path", "left").join(sides("file_hash", "hash"), "file_hash", "left")
+    out = out.join(arriving.groupBy("file_hash").agg(F.min("path").alias("first_path")), "file_hash", "left")
+    held = F.coalesce("live_path", "live_hash")
+    restored = F.when(F.lit(passive), None).when(F.col("gone_path").isNotNull(), F.col("gone_path")).when(held.isNull(), F.col("gone_hash"))
+    existing_id = F.coalesce("any_path", "any_hash")
+    decision = F.when(restored.isNotNull(), "restore").when(existing_id.isNotNull(), "duplicate").when(F.col("path") == F.col("first_path"), "new").otherwise("duplicate")
+    return out.select("path", "file_hash", decision.alias("decision"), F.coalesce(restored, existing_id).alias("id"))
 
 
 def duplicate_links(docs: DataFrame) -> DataFrame:

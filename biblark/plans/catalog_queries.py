@@ -89,7 +89,7 @@ QUERIES = {
     "by_author": (lambda lib: catalog.by_author(lib, "supplier#000000003"), cte("SELECT id, title FROM lib_live d WHERE EXISTS (SELECT 1 FROM lib_document_authors da JOIN lib_authors a ON a.id = da.author_id WHERE da.document_id = d.id AND lower(trim(coalesce(given, '') || ' ' || family)) = 'supplier#000000003')")),
     "smart_rule": (lambda lib: catalog.smart_rule(lib, [{"kind": "untagged"}, {"kind": "year_gte", "value": 1998}, {"kind": "text", "value": "Low"}]), cte("SELECT id, title, year FROM lib_live d WHERE NOT EXISTS (SELECT 1 FROM lib_document_tags t WHERE t.document_id = d.id) AND year >= 1998 AND lower(title) LIKE '%low%'")),
     "trash": (lambda lib: lib.documents.where("deleted_at IS NOT NULL").select("id", "title", "deleted_at"), cte("SELECT id, title, deleted_at FROM lib_documents WHERE deleted_at IS NOT NULL")),
-    "thin_metadata": (lambda lib: lib.live.where("title IS NULL OR year IS NULL OR venue IS NULL").select("id"), cte("SELECT id FROM lib_live WHERE title IS NULL OR year IS NULL OR venue IS NULL")),
+    "thin_metadata": (lambda lib: catalog.thin_metadata(lib), cte("SELECT id FROM lib_live d WHERE title IS NULL OR trim(title) = '' OR year IS NULL OR NOT EXISTS (SELECT 1 FROM lib_document_authors a WHERE a.document_id = d.id)")),
     "recent_documents": (lambda lib: lib.live.where("last_opened_at IS NOT NULL").select("id", "title", "last_opened_at").orderBy(F.desc("last_opened_at"), "id").limit(30), cte("SELECT id, title, last_opened_at FROM lib_live WHERE last_opened_at IS NOT NULL ORDER BY last_opened_at DESC, id LIMIT 30")),
     "multi_key_sort": (lambda lib: catalog.sorted_by(lib.live.select("id", "favorite", "venue", "year"), [("favorite", True), ("venue", False), ("year", True)]).limit(100), cte("SELECT id, favorite, venue, year FROM lib_live ORDER BY favorite DESC, coalesce(venue, ''), coalesce(year, 0) DESC, id LIMIT 100")),
     "home_counters": (lambda lib: catalog.home_counters(lib, "1998-05-01"), cte("SELECT count_if(path NOT LIKE 'ref:%' AND NOT is_read) AS unread_pdf, count_if(NOT is_read AND last_page > 1) AS reading, count_if(date_trunc('month', added_at) = TIMESTAMP '1998-05-01') AS added FROM lib_live")),
@@ -123,12 +123,21 @@ QUERIES = {
     "suffix_disambiguation": (lambda lib: hierarchy.numbered_names(lib.live.select(F.coalesce("venue", F.lit("")).alias("folder"), F.col("title").alias("name"), "id")).select("folder", "id", "shown"), cte("SELECT coalesce(venue, '') AS folder, id, CASE WHEN row_number() OVER (PARTITION BY coalesce(venue, ''), title ORDER BY id) = 1 THEN title ELSE title || ' (' || row_number() OVER (PARTITION BY coalesce(venue, ''), title ORDER BY id) || ')' END AS shown FROM lib_live")),
     # keys and formats
     "citekeys": (
-        lambda lib: bibliography.assigned_keys(citation_items(lib).select("id", "year", "title", F.get("authors", 0)["family"].alias("family"))),
+        lambda lib: bibliography.assigned_keys(citation_items(lib).where("citekey IS NULL OR trim(citekey) = ''").select("id", "year", "title", F.get("authors", 0)["family"].alias("family")), lib.documents),
         cte("""WITH f AS (SELECT document_id, family FROM (SELECT da.document_id, a.family, row_number() OVER (PARTITION BY document_id ORDER BY position, author_id) AS k FROM lib_document_authors da JOIN lib_authors a ON a.id = da.author_id) WHERE k = 1),
-        b AS (SELECT d.id, regexp_replace(lower(f.family), '[^a-z0-9]', '', 'g') || coalesce(CAST(year AS VARCHAR), '') || 'study' AS base FROM lib_live d JOIN f ON f.document_id = d.id),
+        b AS (SELECT d.id, regexp_replace(lower(f.family), '[^a-z0-9]', '', 'g') || coalesce(CAST(year AS VARCHAR), '') || 'study' AS base FROM lib_live d JOIN f ON f.document_id = d.id WHERE citekey IS NULL OR trim(citekey) = ''),
         n AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) - 1 AS n FROM b)
         SELECT id, base || CASE WHEN n = 0 THEN '' WHEN n < 25 THEN chr(CAST(97 + n AS INT)) ELSE CAST(n + 1 AS VARCHAR) END AS key FROM n"""),
     ),
+    "ieee_list": (
+        lambda lib: (lambda d: d.select("id", bibliography.ieee(F.col("number"), d).alias("ieee")))(bibliography.numbered(citation_items(lib))),
+        None,
+    ),
+    "cited_together": (
+        lambda lib: bibliography.cited_together(lib.members.join(lib.live.where("citekey IS NOT NULL").select(F.col("id"), F.col("citekey").alias("key")), F.col("document_id") == F.col("id")).select("collection_id", "id", "key"), "collection_id"),
+        cte("""SELECT m.collection_id, '\\cite{' || string_agg(d.citekey, ',' ORDER BY d.id) || '}' AS latex, '[' || string_agg('@' || d.citekey, '; ' ORDER BY d.id) || ']' AS pandoc
+        FROM lib_members m JOIN lib_live d ON d.id = m.document_id WHERE d.citekey IS NOT NULL GROUP BY 1"""),
+    ),
     "citation_formats": (formats, FORMATS_SQL),
     "csl_json": (lambda lib: (lambda d: d.select("id", bibliography.csl(F.coalesce("citekey", F.concat(F.lit("doc"), F.col("id").cast("string"))), d).alias("csl")))(citation_items(lib)), None),
     "headless_bibtex": (lambda lib: (lambda d: d.select("id", bibliography.plain_bibtex(d).alias("bibtex")))(citation_items(lib)), None),

@@ -52,9 +52,11 @@ QUERIES = {
     "import_decisions": (
         lambda lib: identity.import_decisions(lib.documents, arriving(lib)),
         cte(
-            f"""WITH a AS ({ARRIVING}), x AS (SELECT a.*, (SELECT min(id) FROM lib_documents d WHERE d.path = a.path AND deleted_at IS NULL) AS lp, (SELECT min(id) FROM lib_documents d WHERE d.path = a.path AND deleted_at IS NOT NULL) AS gp,
-            (SELECT min(id) FROM lib_documents d WHERE d.file_hash = a.file_hash AND deleted_at IS NULL) AS lh, (SELECT min(id) FROM lib_documents d WHERE d.file_hash = a.file_hash AND deleted_at IS NOT NULL) AS gh, min(path) OVER (PARTITION BY file_hash) AS fp FROM a)
-            SELECT path, file_hash, CASE WHEN coalesce(lp, lh) IS NOT NULL THEN 'duplicate' WHEN coalesce(gp, gh) IS NOT NULL THEN 'restore' WHEN path = fp THEN 'new' ELSE 'duplicate' END AS decision, coalesce(lp, lh, gp, gh) AS id FROM x"""
+            f"""WITH a AS ({ARRIVING}), p AS (SELECT path, min(id) AS ap, min(id) FILTER (deleted_at IS NULL) AS lp, min(id) FILTER (deleted_at IS NOT NULL) AS gp FROM lib_documents GROUP BY 1),
+            h AS (SELECT file_hash, min(id) AS ah, min(id) FILTER (deleted_at IS NULL) AS lh, min(id) FILTER (deleted_at IS NOT NULL) AS gh FROM lib_documents GROUP BY 1),
+            x AS (SELECT a.*, ap, lp, gp, ah, lh, gh, min(a.path) OVER (PARTITION BY a.file_hash) AS fp FROM a LEFT JOIN p USING (path) LEFT JOIN h USING (file_hash)),
+            y AS (SELECT *, CASE WHEN gp IS NOT NULL THEN gp WHEN lp IS NULL AND lh IS NULL THEN gh END AS back FROM x)
+            SELECT path, file_hash, CASE WHEN back IS NOT NULL THEN 'restore' WHEN ap IS NOT NULL OR ah IS NOT NULL THEN 'duplicate' WHEN path = fp THEN 'new' ELSE 'duplicate' END AS decision, coalesce(back, ap, ah) AS id FROM y"""
         ),
     ),
     "duplicate_links_by_content": (

@@ -12,7 +12,7 @@ its buckets, at most ``MASKS`` pairs a text; the verified ones make components.
 Then the same again with the nearest candidates of other components, earlier and
 later ones. Last, the texts that have any are compared once more, all against all
 of other components, by SimHash fingerprints of ``WIDE`` bits: a similarity of
-``SIMILAR`` comes further apart than the radius about once in 30,000 times. Only
+``SIMILAR`` comes further apart than the radius about once in 700 times. Only
 what passes leaves a task, so a group whose members are connected, or plainly
 unlike, makes no pairs by its square. Texts whose numbers of shingles rule out the
 similarity are no candidates. A bucket of more than ``TILE`` texts is cut into tiles, and every pair of

@@ -92,6 +92,12 @@ class Library:
     def annotations(self) -> DataFrame:
         return self.table("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("document_id"), F.col("event_type").alias("kind"), F.col("props").alias("quote"), F.col("ts").alias("created_at"))
 
+    @cached_property
+    def notes(self) -> DataFrame:
+        c = F.col("c_custkey")
+        body = F.concat(F.lit("On [[Study of "), F.when(c % 2 == 0, "LOW").otherwise("MEDIUM"), F.lit(" methods, part "), (c % 500).cast("string"), F.lit("]] and [[@key"), c.cast("string"), F.lit("|it]]\n```\n[[not a link]]\n```\nsee [[Note "), (c % 100 + 1).cast("string"), F.lit("]] [[nowhere]]"))
+        return self.table("customer").select(c.alias("id"), F.concat(F.lit("Note "), c.cast("string")).alias("title"), body.alias("body"), F.when(c % 5 != 0, F.col("c_nationkey").cast("long") + NATION).alias("collection_id"))
+
     @cached_property
     def watch_hits(self) -> DataFrame:
         e = F.col("event_id")
@@ -120,6 +126,8 @@ CTES = {
     "members": f"SELECT o_custkey + {CUSTOMER} AS collection_id, o_orderkey AS document_id FROM orders WHERE o_orderkey % 10 <> 0",
     "references": "SELECT l_orderkey AS document_id, '10.1000/' || (l_partkey * 3) AS ref_doi, 'Reference ' || l_partkey AS raw FROM lineitem",
     "annotations": "SELECT event_id AS id, user_id AS document_id, event_type AS kind, props AS quote, ts AS created_at FROM events",
+    "notes": f"""SELECT c_custkey AS id, 'Note ' || c_custkey AS title, 'On [[Study of ' || CASE WHEN c_custkey % 2 = 0 THEN 'LOW' ELSE 'MEDIUM' END || ' methods, part ' || (c_custkey % 500) || ']] and [[@key' || c_custkey || '|it]]' || chr(10) || '```' || chr(10) || '[[not a link]]' || chr(10) || '```' || chr(10) || 'see [[Note ' || (c_custkey % 100 + 1) || ']] [[nowhere]]' AS body,
+        CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey + {NATION} AS BIGINT) END AS collection_id FROM customer""",
     "watch_hits": "SELECT event_id AS id, event_type AS watch, 'x' || user_id AS external_id, value AS score, ts AS found_at, CASE event_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'added' ELSE 'dismissed' END AS state FROM events",
 }
 

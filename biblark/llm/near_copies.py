@@ -12,11 +12,16 @@ its buckets, at most ``MASKS`` pairs a text; the verified ones make components.
 Then the same again with the nearest candidates of other components, earlier and
 later ones. Last, the texts that have any are compared once more, all against all
 of other components, by SimHash fingerprints of ``WIDE`` bits: a similarity of
-``SIMILAR`` comes further apart than the radius about once in 700 times. Only
-what passes leaves a task, so a group whose members are connected, or plainly
-unlike, makes no pairs by its square. Texts whose numbers of shingles rule out the
-similarity are no candidates. A bucket of more than ``TILE`` texts is cut into tiles, and every pair of
-tiles is compared on its own.
+``SIMILAR`` comes further apart than the radius about once in 700 times. Of a
+bucket only the texts of such pairs go on, each pair in the first bucket that its
+texts share; they fetch their shingles and meet again by bucket, where pairs are
+verified in the task. Only links that join two components leave it, fewer than the
+bucket has texts: so no pass makes rows by the square of a group, whether its
+members are similar or just below. Pairs with a text of more than ``LONG`` shingles
+are verified outside, as a task could not hold a bucket of those. Texts whose numbers
+of shingles rule out the similarity are no candidates. A bucket of more than ``TILE``
+texts (``LAST_TILE`` in the last pass) is cut into tiles, and every pair of tiles is
+compared on its own.
 
 Defined results: texts without words are copies of each other; texts equal in
 words, apart from the case of A-Z, are one node, named by a 64-bit hash.
@@ -41,6 +46,8 @@ MASKS = 48
 BITS = 10
 SEED = 42
 TILE = 32768
+LAST_TILE = 4096
+LONG = 2048
 ROWS = 128
 WIDE = 1024
 
@@ -117,11 +124,20 @@ def close_enough(wide: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) ->
     return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
 
 
+def owned(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs agree on no mask before that of this bucket."""
+    x, y, nth = rows["f1"][a] ^ rows["f1"][b], rows["f2"][a] ^ rows["f2"][b], rows["nth"][a]
+    out = np.ones(len(a), dtype=bool)
+    for j, (m, n) in enumerate(np.array(masks()).view(np.uint64)):
+        out &= (nth <= j) | ((x & m) != 0) | ((y & n) != 0)
+    return out
+
+
 def pairs_in_bucket(rows: dict[str, np.ndarray], radius: int, least: float, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) within the radius, a before b in the order given, of different components if there is ``comp``: all
-    whose wide fingerprints come close too, or the nearest a of each b, and with ``comp`` the nearest b of each a. ``side``: 0 all against all, 1 against 2 where two tiles meet."""
-    node, f1, f2, side, comp, set_size = (rows.get(c) for c in ("node", "f1", "f2", "side", "comp", "set_size"))
-    count, places = len(node), np.arange(len(node))
+    """Places (a, b) within the radius, a before b in the order given, of different components if there is ``comp``: all
+    that this bucket owns and whose wide fingerprints come close too, or the nearest a of each b, and with ``comp`` the nearest b of each a. ``side``: 0 all against all, 1 against 2 where two tiles meet."""
+    f1, f2, side, comp, set_size = (rows.get(c) for c in ("f1", "f2", "side", "comp", "set_size"))
+    count, places = len(f1), np.arange(len(f1))
     low, best = np.full(count, 255, dtype=np.uint8), np.zeros(count, dtype=np.int64)
     found = []
     for i in range(0, count, ROWS):
@@ -140,61 +156,131 @@ def pairs_in_bucket(rows: dict[str, np.ndarray], radius: int, least: float, near
             if comp is not None:
                 last = d.argmin(axis=1)
                 has = np.flatnonzero(d[np.arange(len(d)), last] < 255)
-                found.append((node[has + i], node[last[has] + i]))
+                found.append((has + i, last[has] + i))
         else:
-            r, c = np.nonzero(near)
-            good = close_enough(rows["wide"], r + i, c + i, wide_radius(least))
-            found.append((node[r[good] + i], node[c[good] + i]))
+            r, c = (x + i for x in np.nonzero(near))
+            good = close_enough(rows["wide"], r, c, wide_radius(least))
+            good[good] = owned(rows, r[good], c[good])
+            found.append((r[good], c[good]))
     if nearest:
         b = np.flatnonzero(low < 255)
-        found.append((node[best[b]], node[b]))
+        found.append((best[b], b))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def candidates(texts: DataFrame, nearest: bool, radius: int = RADIUS, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
-    """Distinct (a, b) from ``texts`` (node, f1, f2, set_size and, in later passes, comp)."""
-    carried = [c for c in ("node", "f1", "f2", "set_size", "comp", *([] if nearest else ["wide"])) if c in texts.columns]
+def joining_links(a: np.ndarray, b: np.ndarray, comp: np.ndarray, sets: list[np.ndarray | None], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure) of the pairs of places, in order of a: similar ones, as far as they join two components; pairs of a
+    text whose set is not at hand (None) stay, not sure."""
+    comp = np.unique(comp, return_inverse=True)[1]
+    here = np.array([x is not None for x in sets])
+    known = here[a] & here[b]
+    out = [(x, y, False) for x, y in zip(a[~known], b[~known])]
+    a, b = a[known], b[known]
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else []
+    for s, e in zip(starts, np.r_[starts[1:], len(a)]):
+        own = a[s]
+        x = sets[own]
+        for k in range(s, e, 256):
+            others = b[k : min(k + 256, e)]
+            others = others[comp[others] != comp[own]]
+            if not len(others):
+                continue
+            sizes = np.array([len(sets[o]) for o in others])
+            every = np.concatenate([sets[o] for o in others])
+            hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+            both = np.bincount(np.repeat(np.arange(len(others)), sizes), hit, len(others))
+            for o in others[both / (len(x) + sizes - both) >= least]:
+                if comp[o] != comp[own]:
+                    out.append((own, o, True))
+                    comp[comp == comp[o]] = comp[own]
+    return tuple(np.array([r[i] for r in out], dtype=t) for i, t in enumerate((np.int64, np.int64, bool)))
+
+
+def whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, dict[str, np.ndarray]]]:
+    """Buckets of more than one row, of batches in order of ``k``: as rows and as arrays."""
+    held: list[pd.DataFrame] = []
+    done = object()
+    while True:
+        batch = next(batches, done)
+        if batch is not done:
+            if not len(batch):
+                continue
+            key = batch["k"].to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
+            if held and not cut and held[-1]["k"].iloc[-1] == key[0]:
+                held.append(batch)  # one bucket over several batches
+                continue
+            held.append(batch.iloc[:cut])
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            if len(rows):
+                key = rows["k"].to_numpy()
+                columns = {c: rows[c].to_numpy() for c in rows.columns if c not in ("k", "wide", "hashes")}
+                columns |= {c: columns[c].view(np.uint64) for c in ("f1", "f2")}
+                if "wide" in rows.columns:
+                    columns["wide"] = np.stack(rows["wide"]).view(np.uint64)
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                for s, e in zip(starts, np.r_[starts[1:], len(key)]):
+                    if e - s > 1:
+                        yield rows.iloc[s:e], {c: v[s:e] for c, v in columns.items()}
+        if batch is done:
+            return
+        held = [batch.iloc[cut:]]
+
+
+def in_buckets(texts: DataFrame, tile: int) -> DataFrame:
+    """``texts`` (node, f1, f2, ...) once a mask and tile that its bucket meets: with k, the bucket, nth, the mask, and side."""
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("f1").bitwiseAND(F.lit(m)), F.col("f2").bitwiseAND(F.lit(n))) for i, (m, n) in enumerate(masks())])
-    keyed = texts.select(*carried, F.explode(keys).alias("v"))
+    keyed = texts.select("*", F.posexplode(keys).alias("nth", "v"))
     # Large buckets are at most as many as rows by the tile size, and as masks by 2 ** BITS.
     large = keyed.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("v", F.ceil(F.col("n") / tile).alias("tiles"))
     tiled = keyed.join(large, "v", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
     tiled = tiled.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte")
-    rows = tiled.select(F.xxhash64("v", F.least("own", "other"), F.greatest("own", "other")).alias("k"), side.alias("side"), *carried)
+    return tiled.select(F.xxhash64("v", F.least("own", "other"), F.greatest("own", "other")).alias("k"), F.col("nth").cast("byte").alias("nth"), side.alias("side"), *texts.columns)
+
+
+def met(rows: DataFrame) -> DataFrame:
+    return rows.repartition("k").sortWithinPartitions("k", "node")
+
+
+def candidates(texts: DataFrame, radius: int = RADIUS, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
+    """Distinct (a, b), the nearest ones, from ``texts`` (node, f1, f2, set_size and, in the second pass, comp)."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in whole_buckets(batches):
+            a, b = pairs_in_bucket(rows, radius, least, True)
+            if len(a):
+                yield pd.DataFrame({"a": rows["node"][a], "b": rows["node"][b]})
+
+    return met(in_buckets(texts, tile).drop("nth")).mapInPandas(compare, "a long, b long").distinct()
+
+
+def with_pairs(texts: DataFrame, radius: int = RADIUS, least: float = SIMILAR, tile: int = LAST_TILE) -> DataFrame:
+    """The rows of ``in_buckets`` that are part of a pair: ``texts`` has comp and wide besides."""
+    rows = in_buckets(texts, tile)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, columns in whole_buckets(batches):
+            used = np.unique(np.concatenate(pairs_in_bucket(columns, radius, least, False)))
+            if len(used):
+                yield part.iloc[used]
+
+    return met(rows).mapInPandas(compare, rows.schema)
+
+
+def last_links(rows: DataFrame, sets: DataFrame, radius: int = RADIUS, least: float = SIMILAR) -> DataFrame:
+    """(a, b, sure) from the rows of ``with_pairs``: verified links between components, and pairs of long texts."""
+    short = sets.where(F.octet_length("hashes") <= 8 * LONG).select("node", "hashes")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        done = object()
-        while True:
-            batch = next(batches, done)
-            if batch is not done:
-                if not len(batch):
-                    continue
-                key = batch["k"].to_numpy()
-                cut = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1])
-                if held and not cut and held[-1]["k"].iloc[-1] == key[0]:
-                    held.append(batch)  # one bucket over several batches
-                    continue
-                held.append(batch.iloc[:cut])
-            if held:
-                rows = pd.concat(held, ignore_index=True)
-                if len(rows):
-                    key = rows["k"].to_numpy()
-                    columns = {c: rows[c].to_numpy() for c in ("side", *carried)}
-                    columns |= {c: columns[c].view(np.uint64) for c in ("f1", "f2")}
-                    if "wide" in columns:
-                        columns["wide"] = np.stack(columns["wide"]).view(np.uint64)
-                    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                    parts = [pairs_in_bucket({c: v[s:e] for c, v in columns.items()}, radius, least, nearest) for s, e in zip(starts, np.r_[starts[1:], len(key)]) if e - s > 1]
-                    if parts:
-                        a, b = (np.concatenate(x) for x in zip(*parts))
-                        yield pd.DataFrame({"a": a, "b": b})
-            if batch is done:
-                return
-            held = [batch.iloc[cut:]]
-
-    return rows.repartition("k").sortWithinPartitions("k", "node").mapInPandas(compare, "a long, b long").distinct()
+        for part, columns in whole_buckets(batches):
+            hashes = [None if h is None else np.frombuffer(h, np.uint64) for h in part["hashes"]]
+            a, b, sure = joining_links(*pairs_in_bucket(columns, radius, least, False), columns["comp"], hashes, least)
+            if len(a):
+                yield pd.DataFrame({"a": columns["node"][a], "b": columns["node"][b], "sure": sure})
+
+    return met(rows.join(short, "node", "left")).mapInPandas(compare, "a long, b long, sure boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -239,17 +325,23 @@ def near_copies(spark: SparkSession, docs: DataFrame, least: float = SIMILAR, ra
 
     fps = nodes.select("node", "f1", "f2", "set_size")
     links: list[DataFrame] = []
-    sets = None
-    for step in ("nearest", "other-nearest", "other"):
+
+    def with_components(fps: DataFrame, links: list[DataFrame]) -> DataFrame:
+        roots = connected_components(reduce(DataFrame.unionByName, links), scratch)
+        return fps.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+    for step in ("nearest", "other-nearest"):
         if links:
-            roots = connected_components(reduce(DataFrame.unionByName, links), scratch)
-            fps = nodes.select("node", "f1", "f2", "set_size").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        if step == "other":  # whoever has a candidate in another component had one in the pass before
-            fps = fps.join(sets.select("node", "wide"), "node")
-        pairs = scratch.keep(candidates(fps, step != "other", radius, least, tile), f"{step}-pairs")
-        sets = sets if step == "other" else scratch.keep(sets_of(pairs), f"{step}-sets")
+            fps = with_components(fps, links)
+        pairs = scratch.keep(candidates(fps, radius, least, tile), f"{step}-pairs")
+        sets = scratch.keep(sets_of(pairs), f"{step}-sets")
         links.append(scratch.keep(verified(pairs, sets, least), f"{step}-links"))
         scratch.drop(pairs)
+    # Whoever has a candidate in another component had one in the pass before.
+    fps = with_components(fps.drop("comp"), links).join(sets.select("node", "wide"), "node")
+    rows = scratch.keep(with_pairs(fps, radius, least, min(tile, LAST_TILE)), "last-rows")
+    found = scratch.keep(last_links(rows, sets, radius, least), "last-found")
+    links += [found.where("sure").select("a", "b"), verified(found.where("not sure").select("a", "b"), sets, least)]
     roots = connected_components(reduce(DataFrame.unionByName, links), scratch)
     return marks.join(roots, "node", "left").select("node", "doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 

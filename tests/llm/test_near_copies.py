@@ -87,3 +87,48 @@ def test_a_group_of_unlike_texts_makes_few_pairs(spark):
     docs = documents(spark, texts).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     roots, _ = roots_by_brute_force(texts)
     assert near_copies.near_copies(spark, docs).select("root").distinct().count() == len(set(roots))
+
+
+def test_joining_links_by_brute_force():
+    """Links from all pairs connect what all similar pairs connect, one link fewer than texts; unknown sets stay open."""
+    sets = [near_copies.shingle_hashes(t) for t in edited_texts(12)]
+    a, b = np.triu_indices(len(sets), 1)
+    similar = [(x, y) for x, y in zip(a, b) if near_copies.similarity(sets[x], sets[y]) >= 0.8]
+
+    def groups(pairs):
+        root = list(range(len(sets)))
+        for x, y in pairs:
+            root = [root[x] if r == root[y] else r for r in root]
+        return len(set(root)), {(i, j) for i in range(len(sets)) for j in range(i) if root[i] == root[j]}
+
+    x, y, sure = near_copies.joining_links(a, b, np.arange(len(sets)), sets, 0.8)
+    assert sure.all() and set(zip(x, y)) <= set(similar)
+    assert groups(zip(x, y)) == groups(similar) and len(x) == len(sets) - groups(similar)[0]
+    open_ = [None if i % 5 == 0 else s for i, s in enumerate(sets)]
+    x, y, sure = near_copies.joining_links(a, b, np.arange(len(sets)), open_, 0.8)
+    assert set(zip(x[~sure], y[~sure])) == {(i, j) for i, j in zip(a, b) if i % 5 == 0 or j % 5 == 0}
+    assert not len(near_copies.joining_links(a[:0], b[:0], np.arange(len(sets)), sets, 0.8)[0])
+
+
+def test_the_last_pass_alone(spark, monkeypatch):
+    """All against all finds the groups by itself, in tiles of any size, for texts that fetch their shingles and for long ones."""
+    texts = edited_texts(20)
+    want = {}
+    for i, r in enumerate(roots_by_brute_force(texts)[0]):
+        want.setdefault(r, set()).add(i)
+    rows = [(int(n), int(f1), int(f2), k, int(n)) for n, f1, f2, k in map(near_copies.fingerprint, texts)]
+    wide = spark.createDataFrame([(r[0], h.tobytes(), near_copies.wide_fingerprint(h).tolist()) for r, h in zip(rows, map(near_copies.shingle_hashes, texts))], "node long, hashes binary, wide array<long>")
+    fps = spark.createDataFrame(rows, "node long, f1 long, f2 long, set_size long, comp long").join(wide.select("node", "wide"), "node")
+    place = {r[0]: i for i, r in enumerate(rows)}
+    for long, tile in ((0, 4096), (120, 7), (10**6, 7)):
+        monkeypatch.setattr(near_copies, "LONG", long)
+        found = near_copies.last_links(near_copies.with_pairs(fps, tile=tile), wide)
+        links = found.where("sure").select("a", "b").unionByName(near_copies.verified(found.where("not sure").select("a", "b"), wide, 0.8))
+        root = list(range(len(texts)))
+        for r in links.collect():
+            x, y = sorted((root[place[r["a"]]], root[place[r["b"]]]))
+            root = [x if z == y else z for z in root]
+        groups = {}
+        for i, r in enumerate(root):
+            groups.setdefault(r, set()).add(i)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from biblark.llm import decontaminate, html_text, packing, pii, quality, simhash, token_counts, toxicity, vectors, warc
+from biblark.llm import decontaminate, html_text, manifest, packing, pii, quality, simhash, spelling, sql, token_counts, toxicity, url_reputation, vectors, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_warc": warc.op9_warc,
     "op10_html_extraction": html_text.op10_html_extraction,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_url_filters": url_reputation.op13_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -25,4 +28,7 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN m <> page_id THEN m END AS refers_to
         FROM p LEFT JOIN f USING (h)""",
+    "op11_merkle_manifest": sql.MANIFEST,
+    "op12_spelling_variants": sql.SPELLING,
+    "op13_url_filters": sql.URLS,
 }

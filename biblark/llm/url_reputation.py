@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblark.llm.common import table
+from biblark.llm.common import Scratch, table
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 LEAST_GOOD, Z = 0.5, 1.645
@@ -93,18 +93,19 @@ def prior_weight(n: Column, k: Column, mean: Column) -> Column:
     return F.floor(F.least(F.greatest(weight, F.lit(WEIGHTS[0])), F.lit(WEIGHTS[1])) * 4096 + 0.5) / 4096
 
 
-def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def reputation(scratch: Scratch, outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Posteriors of hosts, domains and suffixes: the key, judged pages n and good ones k, and the counts a and b of
     the beta distribution. ``outcomes`` has host and good (1 or 0)."""
     judged = outcomes.where("good in (0, 1)").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("k"))
     hosts = judged.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k")
+    hosts = scratch.keep(hosts, "hosts")
     add = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    domains = add(hosts, "domain", "suffix")
-    suffixes = add(domains, "suffix")
+    domains = scratch.keep(add(hosts, "domain", "suffix"), "domains")
+    suffixes = scratch.keep(add(domains, "suffix"), "suffixes")
     whole = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("above"))
-    by_suffix = shrunk(suffixes.crossJoin(F.broadcast(whole)))  # one row
-    by_domain = shrunk(domains.join(by_suffix.select("suffix", F.col("mean").alias("above")), "suffix"))
-    by_host = shrunk(hosts.join(by_domain.select("domain", F.col("mean").alias("above")), "domain"))
+    by_suffix = scratch.keep(shrunk(suffixes.crossJoin(F.broadcast(whole))), "by-suffix")  # one row
+    by_domain = scratch.keep(shrunk(domains.join(by_suffix.select("suffix", F.col("mean").alias("above")), "suffix")), "by-domain")
+    by_host = scratch.keep(shrunk(hosts.join(by_domain.select("domain", F.col("mean").alias("above")), "domain")), "by-host")
     return by_host, by_domain, by_suffix
 
 
@@ -122,18 +123,18 @@ def upper_bound(a: Column, b: Column, z: float = Z) -> Column:
     return 1 / (1 + F.exp(-(F.log(a / b) + z * F.sqrt(1 / a + 1 / b))))
 
 
-def blocked_hosts(hosts: DataFrame, outcomes: DataFrame, least_good: float = LEAST_GOOD) -> DataFrame:
+def blocked_hosts(scratch: Scratch, hosts: DataFrame, outcomes: DataFrame, least_good: float = LEAST_GOOD) -> DataFrame:
     """Those of ``hosts`` (host, distinct) whose upper bound is too low: by their own posterior, else their domain's,
     else their suffix's."""
     bound = upper_bound(F.col("a"), F.col("b"))
-    levels = reputation(outcomes)
+    levels = reputation(scratch, outcomes)
     found = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     for key, level in zip(("host", "domain", "suffix"), levels, strict=True):
         found = found.join(level.select(key, bound.alias(f"_{key}")), key, "left")
     return found.where(F.coalesce("_host", "_domain", "_suffix") < least_good).select("host")
 
 
-def judged_pages(pages: DataFrame, rules: list[tuple[str, str, str]], outcomes: DataFrame | None = None, least_good: float = LEAST_GOOD) -> DataFrame:
+def judged_pages(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]], outcomes: DataFrame | None = None, least_good: float = LEAST_GOOD) -> DataFrame:
     """``pages`` (page_id, url) with host, path, rule and verdict. ``outcomes`` (host, good) are judged pages; without
     them the pages that a rule fits are, allowed ones being good."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -141,7 +142,9 @@ def judged_pages(pages: DataFrame, rules: list[tuple[str, str, str]], outcomes:
     read = read.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("said"))
     if outcomes is None:
         outcomes = read.where("said is not null").select("host", (F.col("said") == "allow").cast("int").alias("good"))
-    blocked = blocked_hosts(read.where("said is null").select("host").distinct(), outcomes, least_good).withColumn("by_host", F.lit("block"))
+    scratch = Scratch(spark, "urls")
+    blocked = blocked_hosts(scratch, read.where("said is null").select("host").distinct(), outcomes, least_good)
+    blocked = scratch.keep(blocked, "blocked").withColumn("by_host", F.lit("block"))
     ruled = read.where("said is not null").select("page_id", "host", "path", "rule", F.col("said").alias("verdict"))
     others = read.where("said is null").join(blocked, "host", "left")
     return ruled.unionByName(others.select("page_id", "host", "path", "rule", F.coalesce("by_host", F.lit("allow")).alias("verdict")))
@@ -149,4 +152,4 @@ def judged_pages(pages: DataFrame, rules: list[tuple[str, str, str]], outcomes:
 
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged, by its rule or by its host's reputation."""
-    return judged_pages(table(spark, sf_dir, "pages"), RULES)
+    return judged_pages(spark, table(spark, sf_dir, "pages"), RULES)

@@ -51,7 +51,7 @@ def test_domains(spark, host, domain, suffix):
 def judged(spark, outcomes, hosts, rules=()):
     seen = spark.createDataFrame([(h, g) for h, good, n in outcomes for g in [1] * good + [0] * (n - good)], "host string, good int")
     pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
-    return {r["host"]: r["verdict"] for r in urls.judged_pages(pages, list(rules), seen).collect()}
+    return {r["host"]: r["verdict"] for r in urls.judged_pages(spark, pages, list(rules), seen).collect()}
 
 
 def test_own_evidence_decides(spark):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +27,9 @@ FOLDED = {
 }
 FOLD_FROM = "".join(FOLDED.values())
 FOLD_TO = "".join(k * len(v) for k, v in FOLDED.items())
+# Lower-case letters of the Latin, Greek and Cyrillic blocks that decompose into a letter and marks.
+MARKED = {chr(c): d[0] for c in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)] if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and chr(c).islower()}
+MARKED_FROM, MARKED_TO = "".join(MARKED), "".join(MARKED.values())
 
 # Words that do not tell one title from another.
 TITLE_STOP = (
@@ -55,7 +61,16 @@ def contains_nocase(c: Column, text: str) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case, common Latin accents folded to ASCII, ß to ss."""
-    return F.replace(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), F.lit("ß"), F.lit("ss"))
+    return F.replace(translated(F.lower(c)), F.lit("ß"), F.lit("ss"))
+
+
+def translated(c: Column) -> Column:
+    return F.translate(c, FOLD_FROM, FOLD_TO)
+
+
+def without_marks(c: Column) -> Column:
+    """Lower case without accents that decompose; letters that are no letter and mark (ø, ł, đ, ß, ı) stay."""
+    return F.translate(F.regexp_replace(F.lower(c), "[\u0300-\u036f]", ""), MARKED_FROM, MARKED_TO)
 
 
 def squeeze(c: Column) -> Column:
@@ -234,6 +249,17 @@ def excerpt(body: Column, query: str, around: int = 90) -> Column:
     return F.when(at > 0, squeeze(F.substr(body, start, at + len(query) + around - start)))
 
 
+def excerpt_of_term(body: Column, term: str, around: int = 90) -> Column:
+    """The text around the first place of a folded word, accents and case aside; null without one. Letters are folded one
+    by one, so places in the folded text are those in the text."""
+    folded = translated(F.lower(F.translate(body, "İ", "i")))
+    word = "(?:ss|ß)".join(re.escape(part) for part in term.split("ss"))
+    found = F.regexp_extract(folded, rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])", 0)
+    at = F.regexp_instr(folded, F.lit(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])"))
+    start = F.greatest(at - around, F.lit(1))
+    return F.when(at > 0, squeeze(F.substr(body, start, at + F.length(found) + around - start)))
+
+
 def identifier_route(raw: Column) -> Column:
     """struct(kind, value): doi, arxiv, isbn or pmid with its normal form; nulls if nothing fits."""
     r = F.trim(raw)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblark.functions import text as T
-from biblark.operators import retrieval
+from biblark.operators.search_index import SearchIndex
 from biblark.plans.library import Library
 
 LINK = r"\[\[([^\[\]\n]+)\]\]"
@@ -49,10 +49,13 @@ def backlinks(notes: DataFrame, docs: DataFrame) -> DataFrame:
     return ends.where("id IS NOT NULL").groupBy("kind", "id").agg(F.count_distinct("note_id").alias("n"), F.min("note_id").alias("first"))
 
 
-def search(rows: DataFrame, columns: list[str], query: list[str]) -> DataFrame:
-    """(id, snippet) of rows that hold every term in any of the columns; an excerpt of the last column at the first term."""
-    found = retrieval.match_all(rows, "id", columns, query)
-    return rows.join(found, "id", "left_semi").select("id", T.excerpt(F.col(columns[-1]), query[0]).alias("snippet"))
+def search(index: SearchIndex, rows: DataFrame, text: str) -> DataFrame:
+    """(id, snippet) of rows that hold every word of ``text`` in any indexed column, from the kept index. The snippet is
+    taken around the first word, from the last column that holds it."""
+    terms = index.terms_of(text)
+    found = rows.join(index.match_all(text).select(F.col("id").alias(index.key)), index.key, "left_semi")
+    parts = [T.excerpt_of_term(F.col(c), terms[0]) for c in reversed(index.columns)] if terms else [F.lit(None).cast("string")]
+    return found.select(F.col(index.key).alias("id"), F.coalesce(*parts).alias("snippet"))
 
 
 def in_collection(notes: DataFrame, collection: int) -> DataFrame:
@@ -91,19 +94,23 @@ def export_list(lib: Library, ids: list[int] | None = None, tag: str | None = No
 
 
 def wings(lib: Library, most: int = 40) -> DataFrame:
-    """(document_id, place, cited_id, year): of each document the cited papers of the library, oldest first, those without
-    a year last; at most ``most``, the size of the map."""
-    cited = lib.references.join(lib.live.select(F.col("doi").alias("ref_doi"), F.col("id").alias("cited_id"), "year"), "ref_doi").select("document_id", "cited_id", "year").distinct()
-    place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.coalesce("year", F.lit(9999)), "cited_id"))
-    return cited.withColumn("place", place.cast("long")).where(F.col("place") <= most)
+    """(document_id, wing, place, other_id, year): on either side of each live document the papers of the library that it
+    cites and those that cite it, oldest first, those without a year last; at most ``most`` a wing, the size of the map."""
+    owners = lib.live.select(F.lower("doi").alias("_doi"), F.col("id").alias("cited_id")).where("_doi is not null")
+    live = lib.live.select(F.col("id").alias("document_id"))
+    links = lib.references.withColumn("_doi", F.lower("ref_doi")).join(owners, "_doi").join(live, "document_id", "left_semi").where("document_id <> cited_id").select("document_id", "cited_id").distinct()
+    both = links.select("document_id", F.lit("cited").alias("wing"), F.col("cited_id").alias("other_id")).unionByName(links.select(F.col("cited_id").alias("document_id"), F.lit("citing").alias("wing"), F.col("document_id").alias("other_id")))
+    dated = both.join(lib.live.select(F.col("id").alias("other_id"), "year"), "other_id")
+    place = F.row_number().over(Window.partitionBy("document_id", "wing").orderBy(F.coalesce("year", F.lit(9999)), "other_id"))
+    return dated.withColumn("place", place.cast("long")).where(F.col("place") <= most).select("document_id", "wing", "place", "other_id", "year")
 
 
 def graph_search(docs: DataFrame, authors: DataFrame, query: str, most: int = 8) -> DataFrame:
     """(id, rank): titles that begin with the query, then those that contain it, then documents of such an author; the
     first ``most``, by id. Queries of less than two characters find nothing."""
-    folded = F.lit(query.strip().lower())
-    title = T.fold(F.coalesce("title", F.lit("")))
-    by_author = authors.where(T.fold(F.coalesce("family", F.lit(""))).contains(folded)).select(F.col("document_id").alias("id")).distinct().withColumn("_by", F.lit(True))
+    folded = T.without_marks(F.lit(query.strip()))
+    title = T.without_marks(F.coalesce("title", F.lit("")))
+    by_author = authors.where(T.without_marks(F.coalesce("family", F.lit(""))).contains(folded)).select(F.col("document_id").alias("id")).distinct().withColumn("_by", F.lit(True))
     rank = F.when(title.startswith(folded), 0).when(title.contains(folded), 1).when(F.col("_by"), 2)
     found = docs.join(by_author, "id", "left").select("id", rank.alias("rank")).where("rank IS NOT NULL")
     return found.where(F.lit(len(query.strip()) >= 2)).orderBy("rank", "id").limit(most)
@@ -120,8 +127,13 @@ def moved(members: DataFrame, document_ids: DataFrame, source: int | None, targe
     return kept.unionByName(document_ids.select(F.lit(target).cast("long").alias("collection_id"), "document_id")).distinct()
 
 
+def padded(name: str, width: int) -> Column:
+    """Spaces up to ``width``; longer values stay whole."""
+    return F.rpad(name, F.greatest(F.length(name), F.lit(width)), F.lit(" "))
+
+
 def log_lines(events: DataFrame) -> DataFrame:
     """(id, line) of an event log (id, ts, node, state, label, done, total, detail): time, node, state, what, how far."""
     far = F.when(F.col("done").isNotNull() & F.col("total").isNotNull(), F.format_string(" [%d/%d]", "done", "total"))
     rest = F.concat(F.coalesce(far, F.lit("")), F.coalesce(F.concat(F.lit(" — "), F.col("detail")), F.lit("")))
-    return events.select("id", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss'Z'"), F.lit("  "), F.rpad("node", 10, " "), F.lit(" "), F.rpad("state", 8, " "), F.lit(" "), F.col("label"), rest).alias("line"))
+    return events.select("id", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss'Z'"), F.lit("  "), padded("node", 10), F.lit(" "), padded("state", 8), F.lit(" "), F.col("label"), rest).alias("line"))

@@ -8,12 +8,16 @@ only what it uses; ``cte`` gives the same tables as SQL text for comparison.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biblark.operators import search_index
+from biblark.operators.search_index import SearchIndex
+
 REGION, NATION, CUSTOMER = 1, 100, 1000
 
 
@@ -104,6 +108,13 @@ class Library:
         state = F.when(e % 3 == 0, "new").when(e % 3 == 1, "added").otherwise("dismissed")
         return self.table("events").select(e.alias("id"), F.col("event_type").alias("watch"), F.concat(F.lit("x"), F.col("user_id").cast("string")).alias("external_id"), F.col("value").alias("score"), F.col("ts").alias("found_at"), state.alias("state"))
 
+    def index(self, name: str) -> SearchIndex:
+        """The kept full-text index of ``texts`` (those of the documents), ``notes`` or ``annotations``."""
+        columns = {"texts": ["text"], "notes": ["title", "body"], "annotations": ["kind", "quote"]}[name]
+        rows = self.table("documents").select(F.col("doc_id").alias("id"), "text") if name == "texts" else getattr(self, name)
+        at = hashlib.sha256(self.folder.encode()).hexdigest()[:16]
+        return search_index.kept(self.spark, f"{name}-{at}", rows.select("id", *columns), "id", columns)
+
 
 CTES = {
     "documents": """SELECT o_orderkey AS id, 'Study of ' || substring(o_orderpriority, 3, 20) || ' methods, part ' || (o_orderkey % 500) AS title,

@@ -27,7 +27,7 @@ def embedded(lib: Library) -> DataFrame:
 
 
 def ranked_text(lib: Library) -> DataFrame:
-    return retrieval.bm25(docs(lib), "id", ["text"], TERMS, 20)
+    return lib.index("texts").bm25(" ".join(TERMS), 20)
 
 
 def nearest(lib: Library, k: int = 20) -> DataFrame:
@@ -75,11 +75,11 @@ CENTRES = """x AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS
     c AS (SELECT label, list(v ORDER BY i) AS c FROM m GROUP BY 1)"""
 
 QUERIES = {
-    "fts_and_match": (lambda lib: retrieval.match_all(docs(lib), "id", ["text"], TERMS), f"SELECT doc_id AS id FROM documents WHERE list_has_all({WORDS}, ['that', 'with'])"),
-    "fts_phrase": (lambda lib: retrieval.match_phrase(docs(lib), "id", "text", ["of", "the"]), f"SELECT doc_id AS id FROM documents WHERE contains(' ' || array_to_string({WORDS}, ' ') || ' ', ' of the ')"),
+    "fts_and_match": (lambda lib: lib.index("texts").match_all(" ".join(TERMS)), f"SELECT doc_id AS id FROM documents WHERE list_has_all({WORDS}, ['that', 'with'])"),
+    "fts_phrase": (lambda lib: lib.index("texts").match_phrase("of the"), f"SELECT doc_id AS id FROM documents WHERE contains(' ' || array_to_string({WORDS}, ' ') || ' ', ' of the ')"),
     "fts_postings": (
-        lambda lib: retrieval.postings(docs(lib), "id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 20"),
-        f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 20",
+        lambda lib: retrieval.postings(docs(lib), "id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")),
+        f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1",
     ),
     "bm25_topk": (ranked_text, f"WITH {BM25} SELECT * FROM text_top"),
     "knn_topk": (nearest, f"WITH {NEAR} SELECT id, distance FROM near_top"),
@@ -88,9 +88,9 @@ QUERIES = {
     "embedding_coverage": (coverage, "SELECT count(*) AS total, count(vec_id) AS embedded, count(*) FILTER (vec_id IS NULL) AS missing FROM documents LEFT JOIN embeddings ON vec_id = doc_id"),
     "embedding_text": (lambda lib: docs(lib).select("id", F.sha2(T.embedding_text(F.col("lang"), F.col("source"), F.col("text")), 256).alias("digest")), "SELECT doc_id AS id, sha256(lang || chr(10) || source || chr(10) || trim(substring(text, 1, 2000))) AS digest FROM documents"),
     "excerpt": (
-        lambda lib: retrieval.snippets(docs(lib).where("lang = 'en'"), "id", "source", "text", "shtion"),
+        lambda lib: retrieval.snippets(docs(lib), "id", "source", "text", "shtion"),
         """SELECT doc_id AS id, CASE WHEN strpos(lower(text), 'shtion') > 0 THEN trim(regexp_replace(substring(text, greatest(1, strpos(lower(text), 'shtion') - 90), least(strpos(lower(text), 'shtion') - 1, 90) + 6 + 90), '\\s+', ' ', 'g')) END AS excerpt
-           FROM documents WHERE lang = 'en' AND (contains(lower(source), 'shtion') OR contains(lower(text), 'shtion'))""",
+           FROM documents WHERE contains(lower(source), 'shtion') OR contains(lower(text), 'shtion')""",
     ),
     "knn_graph_edges": (edges, f"WITH {EDGES} SELECT * FROM e"),
     "graph_degree": (lambda lib: vectors.degrees(edges(lib)), f"WITH {EDGES} SELECT id, count(*) AS degree FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY 1"),

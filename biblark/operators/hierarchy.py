@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from biblark.operators.storage import stored
+
 DEEPEST = 64
 
 
 def ancestors(collections: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """(id, ancestor, distance), each node its own ancestor at distance 0. One join a level; the loop ends
+    """(id, ancestor, distance), each node its own ancestor at distance 0. One join a level, each written once; the loop ends
     with the deepest node, or at ``deepest`` when parents form a circle."""
     edges = collections.select(F.col("id").alias("ancestor"), "parent_id")
     level = collections.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
     out = level
     for _ in range(deepest - 1):
-        level = level.join(edges, "ancestor").where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
+        level = stored(level.join(edges, "ancestor").where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor"), (F.col("distance") + 1).alias("distance")), "level")
         if not level.limit(1).count():
             break
         out = out.unionByName(level)
@@ -28,7 +30,7 @@ def subtree(collections: DataFrame, root: int) -> DataFrame:
     level = collections.where(F.col("id") == root).select("id")
     out = level
     for _ in range(DEEPEST - 1):
-        level = level.join(children, "id").select(F.col("child").alias("id"))
+        level = stored(level.join(children, "id").select(F.col("child").alias("id")), "level")
         if not level.limit(1).count():
             break
         out = out.unionByName(level)

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder is made and set only where that is unset (one machine, tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, which the cluster or the caller sets. Without it there is no folder that all executors see."""
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
     if not own.isDefined():
-        folder = folder or f"file://{tempfile.mkdtemp(prefix='biblark-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    return (folder or own.get()).rstrip("/")
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what follows reads it as often as it likes."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biblark.operators.neighbours import neighbours
 from biblark.operators.storage import checkpointed
 
-BLOCK = 4096
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -28,48 +25,19 @@ def nearest(vectors: DataFrame, key: str, column: str, query: list[float], k: in
     return vectors.select(key, F.round(1 - cosine(F.col(column), q), 6).alias("distance")).orderBy("distance", key).limit(k)
 
 
-def normalized(rows) -> np.ndarray:
-    x = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-
-def neighbours(vectors: DataFrame, key: str, column: str, k: int, floor: float, block: int = BLOCK) -> DataFrame:
-    """(src, dst, weight): each vector's k nearest others from ``floor`` on, exact. Rows fall into blocks of
-    about ``block``; every pair of blocks is a task of its own, which returns its best k of each vector, and
-    those few meet by vector. The work is the square of the rows by nature; memory is that of two blocks."""
-    clean = vectors.where(F.size(column) > 0).select(F.col(key).cast("long").alias("id"), F.col(column).alias("v"))
-    blocks = max(1, -(-clean.count() // block))
-    clean = clean.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    sides = clean.select("id", "v", F.lit(True).alias("asks"), F.col("own").alias("q"), every.alias("x")).unionByName(clean.select("id", "v", F.lit(False).alias("asks"), F.col("own").alias("x"), every.alias("q")))
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy(dtype=bool)
-        if asks.all() or not asks.any():
-            return pd.DataFrame({"src": [], "dst": [], "weight": []})
-        ids, x = group["id"].to_numpy(), normalized(group["v"])
-        src, dst = ids[asks], ids[~asks]
-        parts = []
-        for s in range(0, len(src), 512):
-            sims = np.round(x[asks][s : s + 512] @ x[~asks].T, 6)
-            sims[src[s : s + 512, None] == dst[None, :]] = -2
-            order = np.lexsort((np.broadcast_to(dst, sims.shape), -sims), axis=1)[:, :k]
-            value = np.take_along_axis(sims, order, 1)
-            a, b = np.nonzero(value >= floor)
-            parts.append(pd.DataFrame({"src": src[s + a], "dst": dst[order[a, b]], "weight": value[a, b]}))
-        return pd.concat(parts)
-
-    found = sides.groupBy("q", "x").applyInPandas(meet, "src long, dst long, weight double")
-    best = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
-
-
-def similarity_edges(vectors: DataFrame, key: str, column: str, k: int = 4, floor: float = 0.55) -> DataFrame:
+def similarity_edges(vectors: DataFrame, key: str, column: str, k: int = 4, floor: float = 0.55, exact: bool = False) -> DataFrame:
     """Undirected edges (a, b, weight), kept if either end chose the other."""
-    n = neighbours(vectors, key, column, k, floor)
+    n = neighbours(vectors, key, column, k, floor, exact=exact)
     return n.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("weight"))
 
 
+def subtree_edges(vectors: DataFrame, key: str, column: str, members: DataFrame, collections: DataFrame, k: int = 4, floor: float = 0.55, exact: bool = False) -> DataFrame:
+    """The similarity graph of the documents in ``collections`` (id), such as a collection and all below it, with neighbours
+    sought among them only. ``members``: collection_id, document_id."""
+    inside = members.join(collections.select(F.col("id").alias("collection_id")), "collection_id", "left_semi").select(F.col("document_id").alias(key)).distinct()
+    return similarity_edges(vectors.join(inside, key, "left_semi"), key, column, k, floor, exact)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblark.functions import text as T
-from biblark.operators import retrieval, vectors
-from biblark.plans.library import Library
+from biblark.operators import hierarchy, retrieval, vectors
+from biblark.operators.neighbours import neighbours
+from biblark.plans.library import REGION, Library
 
 TERMS = ["that", "with"]
 PROBE = "[" + ", ".join(str(((7 * i) % 13 - 6) / 10) for i in range(64)) + "]"
@@ -39,11 +40,18 @@ def hybrid(lib: Library) -> DataFrame:
     return retrieval.fused([ranked_text(lib), near], "id", 20)
 
 
-def related(lib: Library) -> DataFrame:
-    """Neighbours of a stored vector, itself left out."""
-    own = embedded(lib).where("id = 7").select(F.col("embedding").alias("_q"))
-    others = embedded(lib).where("id <> 7").join(F.broadcast(own))  # one row
-    return others.select("id", F.round(1 - vectors.cosine(F.col("embedding"), F.col("_q")), 6).alias("distance")).orderBy("distance", "id").limit(10)
+def asked(lib: Library) -> DataFrame:
+    return embedded(lib).where("id % 100 = 0")
+
+
+def nearest_of(lib: Library, k: int, with_self: bool) -> DataFrame:
+    """The nearest vectors of every vector whose id is divisible by 100."""
+    found = neighbours(embedded(lib), "id", "embedding", k, queries=asked(lib), with_self=with_self)
+    return found.select(F.col("src").alias("query"), F.col("dst").alias("id"), F.round(1 - F.col("weight"), 6).alias("distance"))
+
+
+def in_subtree(lib: Library) -> DataFrame:
+    return vectors.subtree_edges(embedded(lib), "id", "embedding", lib.members, hierarchy.subtree(lib.collections, REGION + 1), K, FLOOR)
 
 
 def edges(lib: Library) -> DataFrame:
@@ -67,10 +75,22 @@ BM25 = f"""w AS (SELECT doc_id AS id, {WORDS} AS t FROM documents),
     text_top AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM r QUALIFY rank <= 20)"""
 NEAR = f"""near_top AS (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank FROM
     (SELECT vec_id AS id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({PROBE} AS DOUBLE[])), 6) AS distance FROM embeddings) QUALIFY rank <= 20)"""
-EDGES = f"""p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS weight
-        FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+
+
+def edges_sql(table: str) -> str:
+    return f"""p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS weight
+        FROM {table} a, {table} b WHERE a.vec_id <> b.vec_id),
     n AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM p WHERE weight >= {FLOOR}),
     e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(weight) AS weight FROM n WHERE k <= {K} GROUP BY 1, 2)"""
+
+
+def near_sql(test: str, k: int) -> str:
+    return f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS id, round(1 - round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND {test})
+        SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, id) <= {k}"""
+
+
+EDGES = edges_sql("embeddings")
+INSIDE = "(SELECT * FROM embeddings WHERE vec_id IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 AND o_orderkey % 10 <> 0))"
 CENTRES = """x AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY 1, 2),
     c AS (SELECT label, list(v ORDER BY i) AS c FROM m GROUP BY 1)"""
 
@@ -82,8 +102,9 @@ QUERIES = {
         f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1",
     ),
     "bm25_topk": (ranked_text, f"WITH {BM25} SELECT * FROM text_top"),
-    "knn_topk": (nearest, f"WITH {NEAR} SELECT id, distance FROM near_top"),
-    "knn_related": (related, "SELECT b.vec_id AS id, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 7 AND b.vec_id <> 7 ORDER BY 2, 1 LIMIT 10"),
+    "knn_topk": (lambda lib: nearest_of(lib, 20, True), near_sql("true", 20)),
+    "knn_related": (lambda lib: nearest_of(lib, 10, False), near_sql("a.vec_id <> b.vec_id", 10)),
+    "knn_graph_subtree": (in_subtree, f"WITH {edges_sql(INSIDE)} SELECT * FROM e"),
     "rrf_hybrid": (hybrid, f"WITH {BM25}, {NEAR} SELECT id, round(sum(1 / (60 + rank)), 8) AS score FROM (SELECT id, rank FROM text_top UNION ALL SELECT id, rank FROM near_top) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
     "embedding_coverage": (coverage, "SELECT count(*) AS total, count(vec_id) AS embedded, count(*) FILTER (vec_id IS NULL) AS missing FROM documents LEFT JOIN embeddings ON vec_id = doc_id"),
     "embedding_text": (lambda lib: docs(lib).select("id", F.sha2(T.embedding_text(F.col("lang"), F.col("source"), F.col("text")), 256).alias("digest")), "SELECT doc_id AS id, sha256(lang || chr(10) || source || chr(10) || trim(substring(text, 1, 2000))) AS digest FROM documents"),

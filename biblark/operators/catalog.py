@@ -174,12 +174,31 @@ def home_counters(lib: Library, month: str) -> DataFrame:
     return lib.live.agg(F.count_if(pdf & ~F.col("is_read")).alias("unread_pdf"), F.count_if(~F.col("is_read") & (F.col("last_page") > 1)).alias("reading"), F.count_if(added).alias("added"))
 
 
-def health(lib: Library) -> DataFrame:
-    """(issue, n) of live documents: no metadata, reference only, no doi, copies of one file."""
-    d = lib.live
-    flags = d.select(F.explode(F.filter(F.array(F.when(F.col("year").isNull() & F.col("venue").isNull(), "no_metadata"), F.when(~has_pdf(F.col("path")), "no_file"), F.when(F.col("doi").isNull(), "no_doi")), lambda x: x.isNotNull())).alias("issue"))
-    copies = d.groupBy("file_hash").agg(F.count("*").alias("k")).where("k > 1").select(F.lit("duplicate_group").alias("issue"))
-    return flags.unionByName(copies).groupBy("issue").agg(F.count("*").alias("n"))
+def health(lib: Library, files: DataFrame, texts: DataFrame, thumbs: DataFrame) -> DataFrame:
+    """(issue, id) of live documents: missing_file (a path outside ``files``, references apart), no_text (nothing but white
+    space in ``texts``), no_metadata (neither authors nor year nor venue), no_embedding, no_thumbnail (not in ``thumbs``), and
+    duplicate (the same content as another one). ``files``: path; ``texts``: id, text; ``thumbs``: id."""
+    d = lib.live.select("id", "path", "year", "venue", "file_hash")
+    lacking = lambda name, rows, have: rows.join(have, "id", "left_anti").select(F.lit(name).alias("issue"), "id")
+    pdf = d.where(has_pdf(F.col("path")))
+    authored = lib.document_authors.select(F.col("document_id").alias("id"))
+    nameless = d.where((F.coalesce("year", F.lit(0)) == 0) & (F.coalesce("venue", F.lit("")) == ""))
+    found = [
+        pdf.join(files.select("path"), "path", "left_anti").select(F.lit("missing_file").alias("issue"), "id"),
+        lacking("no_text", pdf, texts.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("id")),
+        lacking("no_metadata", nameless, authored),
+        lacking("no_embedding", d, lib.table("embeddings").select(F.col("vec_id").alias("id"))),
+        lacking("no_thumbnail", pdf, thumbs.select("id")),
+        content_classes(d).select(F.lit("duplicate").alias("issue"), "id"),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def content_classes(docs: DataFrame) -> DataFrame:
+    """(id, class, n): documents whose content others have too, with the smallest id among them and how many they are. A row
+    a document, whatever the size of a class."""
+    sizes = docs.where("file_hash is not null").groupBy("file_hash").agg(F.min("id").alias("class"), F.count("*").alias("n")).where("n > 1")
+    return docs.select("id", "file_hash").join(sizes, "file_hash").select("id", "class", "n")
 
 
 def daily_pick(lib: Library, day: int) -> DataFrame:

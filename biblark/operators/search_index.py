@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biblark.operators import retrieval
-from biblark.operators.storage import shared_folder
 
 WORDS_A_BUCKET = 4_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 16, 4096
@@ -234,8 +233,8 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def kept(spark: SparkSession, name: str, docs: DataFrame, key: str, columns: list[str]) -> SearchIndex:
-    """The index of that name in the shared folder, built where there is none or its count is off."""
-    index = SearchIndex(spark, f"{shared_folder(spark)}/search-index/{name}", key, columns)
+def kept(spark: SparkSession, folder: str, docs: DataFrame, key: str, columns: list[str]) -> SearchIndex:
+    """The index in that folder, built where there is none or its count is off."""
+    index = SearchIndex(spark, folder, key, columns)
     index.reconcile(docs)
     return index

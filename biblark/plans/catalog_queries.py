@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblark.functions import text as T
-from biblark.operators import bibliography, catalog, citations, hierarchy
+from biblark.operators import bibliography, catalog, citations, hierarchy, snowball
+from biblark.operators.storage import stored
 from biblark.plans.library import CUSTOMER, NATION, REGION, Library, cte
 
 NAMES = "SELECT da.document_id, string_agg(trim(coalesce(a.given, '') || ' ' || coalesce(a.family, '')), '; ' ORDER BY da.position, da.author_id) AS authors FROM lib_document_authors da JOIN lib_authors a ON a.id = da.author_id GROUP BY 1"
@@ -54,6 +55,34 @@ FORMATS_SQL = cte("""WITH people AS (SELECT da.document_id, list({'given': a.giv
 GAPS = "refs AS (SELECT r.document_id, lower(r.ref_doi) AS doi, r.raw FROM lib_references r JOIN lib_live d ON d.id = r.document_id), own AS (SELECT lower(doi) AS doi, id AS cited_id FROM lib_live WHERE doi IS NOT NULL)"
 
 # name: (query over a library, SQL or None)
+SNOWBALL_HOP = """f{0} AS (SELECT t.seed, l.id, t.place AS pp, l.o, l.rank, l.work AS parent, l.direction FROM {1} t JOIN ln l ON l.work = t.id WHERE (t.seed, l.id) NOT IN ({2}) QUALIFY row_number() OVER (PARTITION BY t.seed, l.id ORDER BY t.place, l.o, l.rank) = 1),
+    t{0} AS (SELECT seed, {0} AS hop, row_number() OVER (PARTITION BY seed ORDER BY pp, o, rank) AS place, id, parent, direction FROM f{0})"""
+SNOWBALL = f"""WITH k AS (SELECT DISTINCT r.document_id AS a, d.id AS b FROM lib_references r JOIN lib_live d ON lower(d.doi) = lower(r.ref_doi) WHERE r.document_id IN (SELECT id FROM lib_live) AND r.document_id <> d.id),
+    wk AS (SELECT id, coalesce(c, 0) AS c FROM lib_live LEFT JOIN (SELECT b, count(*) AS c FROM k GROUP BY 1) ON b = id),
+    sd AS (SELECT a AS work, b AS id, 'reference' AS direction, 0 AS o FROM k UNION ALL SELECT b, a, 'citing', 1 FROM k),
+    ln AS (SELECT work, sd.id, direction, o, row_number() OVER (PARTITION BY work, direction ORDER BY c DESC, sd.id) AS rank FROM sd JOIN wk ON wk.id = sd.id QUALIFY rank <= 5),
+    t0 AS (SELECT id AS seed, 0 AS hop, 1 AS place, id, CAST(NULL AS BIGINT) AS parent, CAST(NULL AS VARCHAR) AS direction FROM lib_live WHERE id % 100 = 0),
+    {SNOWBALL_HOP.format(1, "t0", "SELECT seed, id FROM t0")}, {SNOWBALL_HOP.format(2, "t1", "SELECT seed, id FROM t0 UNION ALL SELECT seed, id FROM t1")},
+    {SNOWBALL_HOP.format(3, "t2", "SELECT seed, id FROM t0 UNION ALL SELECT seed, id FROM t1 UNION ALL SELECT seed, id FROM t2")},
+    tr AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)"""
+
+
+def grown(lib: Library) -> DataFrame:
+    """Trees of depth three from every document whose id is divisible by 100, five works a side."""
+    owners = lib.live.select(F.lower("doi").alias("_doi"), F.col("id").alias("b")).where("_doi is not null")
+    live = lib.live.select(F.col("id").alias("a"))
+    ties = lib.references.select(F.col("document_id").alias("a"), F.lower("ref_doi").alias("_doi")).join(owners, "_doi").join(live, "a", "left_semi").where("a <> b").select("a", "b").distinct()
+    counts = ties.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("citations"))
+    works = lib.live.select("id").join(counts, "id", "left")
+    return snowball.snowball(works, ties, lib.live.where("id % 100 = 0").select("id"), 3, 5)
+
+
+def pruned(lib: Library) -> DataFrame:
+    """The same trees without what hangs below the first work of each."""
+    tree = stored(grown(lib), "trees")
+    return snowball.without_subtrees(tree, tree.where("hop = 1 and place = 1").select("seed", "id")).select("seed", "hop", "id")
+
+
 QUERIES = {
     "catalog_search": (lambda lib: catalog.search(lib, "urgent", 50), listing("lower(title) LIKE '%urgent%' OR lower(venue) LIKE '%urgent%' OR lower(doi) LIKE '%urgent%' OR lower(citekey) LIKE '%urgent%' OR EXISTS (SELECT 1 FROM lib_document_authors da JOIN lib_authors a ON a.id = da.author_id WHERE da.document_id = d.id AND (lower(a.family) LIKE '%urgent%' OR lower(a.given) LIKE '%urgent%'))", "year DESC NULLS LAST, title NULLS FIRST, id", 50)),
     "catalog_search_author": (lambda lib: catalog.search(lib, "SUPPLIER#000000007", 1000), listing("lower(title) LIKE '%supplier#000000007%' OR EXISTS (SELECT 1 FROM lib_document_authors da JOIN lib_authors a ON a.id = da.author_id WHERE da.document_id = d.id AND lower(a.family) LIKE '%supplier#000000007%')", "year DESC NULLS LAST, title NULLS FIRST, id", 1000)),
@@ -93,12 +122,24 @@ QUERIES = {
     "recent_documents": (lambda lib: lib.live.where("last_opened_at IS NOT NULL").select("id", "title", "last_opened_at").orderBy(F.desc("last_opened_at"), "id").limit(30), cte("SELECT id, title, last_opened_at FROM lib_live WHERE last_opened_at IS NOT NULL ORDER BY last_opened_at DESC, id LIMIT 30")),
     "multi_key_sort": (lambda lib: catalog.sorted_by(lib.live.select("id", "favorite", "venue", "year"), [("favorite", True), ("venue", False), ("year", True)]).limit(100), cte("SELECT id, favorite, venue, year FROM lib_live ORDER BY favorite DESC, coalesce(venue, ''), coalesce(year, 0) DESC, id LIMIT 100")),
     "home_counters": (lambda lib: catalog.home_counters(lib, "1998-05-01"), cte("SELECT count_if(path NOT LIKE 'ref:%' AND NOT is_read) AS unread_pdf, count_if(NOT is_read AND last_page > 1) AS reading, count_if(date_trunc('month', added_at) = TIMESTAMP '1998-05-01') AS added FROM lib_live")),
-    "health_report": (lambda lib: catalog.health(lib), cte("SELECT issue, count(*) AS n FROM (SELECT 'no_metadata' AS issue FROM lib_live WHERE year IS NULL AND venue IS NULL UNION ALL SELECT 'no_file' FROM lib_live WHERE path LIKE 'ref:%' UNION ALL SELECT 'no_doi' FROM lib_live WHERE doi IS NULL UNION ALL SELECT 'duplicate_group' FROM lib_live GROUP BY file_hash HAVING count(*) > 1) GROUP BY 1")),
-    "dup_by_hash": (lambda lib: lib.live.groupBy("file_hash").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",").alias("ids"), F.count("*").alias("n")).where("n > 1"), cte("SELECT file_hash, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, count(*) AS n FROM lib_live GROUP BY 1 HAVING count(*) > 1")),
+    "health_report": (
+        lambda lib: catalog.health(lib, lib.documents.where("id % 9 <> 0").select("path"), lib.table("documents").select(F.col("doc_id").alias("id"), "text"), lib.documents.where("id % 4 <> 3").select("id")),
+        cte("""WITH p AS (SELECT * FROM lib_live WHERE path NOT LIKE 'ref:%'), h AS (SELECT file_hash FROM lib_live GROUP BY 1 HAVING count(*) > 1)
+            SELECT 'missing_file' AS issue, id FROM p WHERE id % 9 = 0 UNION ALL SELECT 'no_text', id FROM p WHERE id NOT IN (SELECT doc_id FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')
+            UNION ALL SELECT 'no_metadata', id FROM lib_live WHERE year IS NULL AND venue IS NULL AND id NOT IN (SELECT document_id FROM lib_document_authors)
+            UNION ALL SELECT 'no_embedding', id FROM lib_live WHERE id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'no_thumbnail', id FROM p WHERE id % 4 = 3
+            UNION ALL SELECT 'duplicate', id FROM lib_live WHERE file_hash IN (SELECT file_hash FROM h)"""),
+    ),
+    "dup_by_hash": (lambda lib: catalog.content_classes(lib.live), cte("SELECT id, min(id) OVER (PARTITION BY file_hash) AS class, count(*) OVER (PARTITION BY file_hash) AS n FROM lib_live QUALIFY n > 1")),
     "annotation_counts": (lambda lib: lib.annotations.groupBy("document_id").agg(F.count("*").alias("n")), cte("SELECT document_id, count(*) AS n FROM lib_annotations GROUP BY 1")),
     "daily_pick": (lambda lib: catalog.daily_pick(lib, 12345), cte("SELECT id, title FROM (SELECT id, title, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM lib_live WHERE NOT is_read) WHERE k = 12345 % n")),
     "backup_keep_newest": (lambda lib: lib.watch_hits.select("id", "watch", "found_at", F.expr("row_number() OVER (PARTITION BY watch ORDER BY found_at DESC, id DESC)").alias("k")).where("k <= 5").select("id", "watch"), cte("SELECT id, watch FROM (SELECT id, watch, row_number() OVER (PARTITION BY watch ORDER BY found_at DESC, id DESC) AS k FROM lib_watch_hits) WHERE k <= 5")),
     # citations
+    "snowball_trees": (grown, cte(f"{SNOWBALL} SELECT seed, CAST(hop AS INT) AS hop, place, id, parent, direction FROM tr")),
+    "snowball_pruned": (
+        pruned,
+        cte(f"{SNOWBALL}, g1 AS (SELECT seed, id FROM t1 WHERE place = 1), g2 AS (SELECT t2.seed, t2.id FROM t2 JOIN g1 ON g1.seed = t2.seed AND g1.id = parent), g3 AS (SELECT t3.seed, t3.id FROM t3 JOIN g2 ON g2.seed = t3.seed AND g2.id = parent) SELECT seed, CAST(hop AS INT) AS hop, id FROM tr WHERE (seed, id) NOT IN (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3)"),
+    ),
     "citation_out": (lambda lib: citations.outgoing(lib), cte(f"WITH {GAPS} SELECT DISTINCT refs.document_id, refs.doi, cited_id FROM refs LEFT JOIN own USING (doi)")),
     "cited_by": (lambda lib: citations.cited_by(lib), cte(f"WITH {GAPS} SELECT cited_id, count(DISTINCT document_id) AS n FROM refs JOIN own USING (doi) GROUP BY 1")),
     "citation_gaps": (lambda lib: citations.gaps(lib, 100), cte(f"WITH {GAPS} SELECT doi, count(DISTINCT document_id) AS n, min(raw) AS sample FROM refs WHERE doi NOT IN (SELECT doi FROM own) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")),

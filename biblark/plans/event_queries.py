@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from biblark.operators.storage import shared_folder
 from biblark.plans.library import Library, cte
-from biblark.streaming import activity
+from biblark.streaming import activity, tokens
 
 
 def shared(lib: Library) -> str:
@@ -52,11 +52,42 @@ def novelty_counts(lib: Library) -> DataFrame:
     return lib.watch_hits.where("state = 'new'").groupBy("watch").agg(F.count("*").alias("n"))
 
 
+def novel(lib: Library) -> DataFrame:
+    """New hits of works that nobody had decided on before they were found, once a watch."""
+    key = ["watch", "external_id"]
+    first = lib.watch_hits.where("state <> 'new'").groupBy(*key).agg(F.min("found_at").alias("_decided"))
+    open_ = lib.watch_hits.where("state = 'new'").join(first, key, "left").where("_decided is null or _decided >= found_at")
+    return open_.groupBy(*key).agg(F.min("id").alias("id")).select("id", *key)
+
+
 def per_node(lib: Library) -> DataFrame:
     e = events(lib)
     return e.groupBy("node").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("start", "ok", "err")], F.max("ts").alias("last"))
 
 
+def pieces(lib: Library) -> DataFrame:
+    """Every text's words as a model's answer: lines of JSON, every third document as events, cut into 1,000 bytes."""
+    words = F.filter(F.split("text", "[ \t\n\r]+"), lambda w: w != "")
+    plain = F.transform(words, lambda w: F.to_json(F.struct(F.concat(w, F.lit(" ")).alias("response"))))
+    event = F.transform(words, lambda w: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(w, F.lit(" ")).alias("content")).alias("delta"))).alias("choices")))))
+    lines = F.when(F.col("doc_id") % 3 == 0, F.concat(F.array_join(event, "\n\n"), F.lit("\n\ndata: [DONE]"))).otherwise(F.array_join(plain, "\n"))
+    bytes_ = lib.table("documents").select(F.col("doc_id").alias("stream"), F.encode(lines, "utf-8").alias("b"))
+    count = F.greatest(F.ceil(F.octet_length("b") / 1000).cast("int"), F.lit(1))
+    cut = bytes_.select("stream", "b", count.alias("k"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
+    return cut.select("stream", F.col("i").cast("long").alias("number"), F.substring("b", F.col("i") * 1000 + 1, F.lit(1000)).alias("data"), (F.col("i") == F.col("k") - 1).alias("last"))
+
+
+def streamed_answers(lib: Library) -> DataFrame:
+    """(stream, n, answer): tokens and digest of each answer, from pieces that come in any order."""
+    at = shared(lib)
+    found = pieces(lib)
+    found.repartition(4, F.xxhash64("stream", "number")).write.parquet(f"{at}/pieces")
+    source = lib.spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/pieces")
+    said = finished(lib, tokens.tokens(source))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda t: t["token"]), "")
+    return said.groupBy("stream").agg(F.count("*").alias("n"), F.sha2(F.trim(whole), 256).alias("answer"))
+
+
 BASE = """e AS (SELECT event_id AS id, 'n' || (user_id % 5) AS node, CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'ok' WHEN 'error' THEN 'err' ELSE 'blip' END AS state, ts AS t, epoch_us(ts) // 1000 AS ts, user_id, value FROM events)"""
 WINDOWS = f"""WITH {BASE}, k AS (SELECT unnest(range(0, 6)) AS k)
     SELECT make_timestamp(((epoch_us(t) // 600000000) - k) * 600000000) AS begin, node, count(*) AS n FROM e, k GROUP BY 1, 2"""
@@ -80,10 +111,14 @@ QUERIES = {
     "json_props": (lambda lib: lib.table("events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n")), "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1"),
     "novelty_counts": (novelty_counts, cte("SELECT watch, count(*) AS n FROM lib_watch_hits WHERE state = 'new' GROUP BY 1")),
     "novelty_anti": (
-        lambda lib: lib.watch_hits.where("state = 'new'").join(lib.watch_hits.where("state <> 'new'").select("watch", "external_id"), ["watch", "external_id"], "left_anti").select("id"),
-        cte("SELECT id FROM lib_watch_hits h WHERE state = 'new' AND NOT EXISTS (SELECT 1 FROM lib_watch_hits o WHERE o.state <> 'new' AND o.watch = h.watch AND o.external_id = h.external_id)"),
+        novel,
+        cte("SELECT min(id) AS id, watch, external_id FROM lib_watch_hits h WHERE state = 'new' AND NOT EXISTS (SELECT 1 FROM lib_watch_hits o WHERE o.state <> 'new' AND o.watch = h.watch AND o.external_id = h.external_id AND o.found_at < h.found_at) GROUP BY watch, external_id"),
+    ),
+    "stream_tokens": (
+        streamed_answers,
+        "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id AS stream, CAST(len(w) AS BIGINT) AS n, sha256(array_to_string(w, ' ')) AS answer FROM w WHERE len(w) > 0",
     ),
     "stream_dedup": (lambda lib: finished(lib, activity.without_repeats(stream(lib)).select("id", "node")), f"WITH {BASE} SELECT id, node FROM e"),
-    "stream_jobs": (lambda lib: finished(lib, activity.jobs(stream(lib))).select("node", "at"), f"WITH {BASE} SELECT node, ts AS \"at\" FROM e WHERE state IN ('ok', 'err')"),
+    "stream_jobs": (lambda lib: finished(lib, activity.jobs(stream(lib))), None),
     "stream_novelty": (streamed_sweep, f"WITH {BASE} SELECT DISTINCT node AS watch, 'x' || user_id AS external_id, 'new' AS state FROM e WHERE user_id % 7 <> 0"),
 }

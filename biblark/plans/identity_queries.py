@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biblark.operators import identity
+from biblark.operators import catalog, identity
 from biblark.plans.library import Library, cte
 
 
@@ -26,8 +26,14 @@ def found(lib: Library) -> DataFrame:
     return a.unionByName(b)
 
 
+def taken(lib: Library) -> DataFrame:
+    """The recorded answers; every seventh names a DOI that another document may hold."""
+    held = F.concat(F.lit("10.1000/"), (F.col("id") - F.col("id") % 3 + 3).cast("string"))
+    return found(lib).withColumn("doi", F.when((F.col("id") % 7 == 0) & (F.col("source") == "title"), held).otherwise(F.col("doi")))
+
+
 def merged_tags(lib: Library) -> DataFrame:
-    groups = lib.live.groupBy("file_hash").agg(F.min("id").alias("group"), F.collect_list("id").alias("ids")).select("group", F.explode("ids").alias("id"))
+    groups = catalog.content_classes(lib.live).select("id", F.col("class").alias("group"))
     _, bridges = identity.merged(lib.documents, {"tags": lib.document_tags}, groups)
     return bridges["tags"].groupBy("document_id").agg(F.count("*").alias("n"))
 
@@ -89,8 +95,12 @@ QUERIES = {
         cte("SELECT id, CASE WHEN id % 2 = 0 THEN 'title' ELSE 's2' END AS source, CASE WHEN id % 2 = 0 THEN '10.2000/a' || id ELSE '10.2000/b' || id END AS doi FROM lib_live WHERE id % 2 = 0 OR id % 5 = 0"),
     ),
     "metadata_candidates": (
-        lambda lib: identity.candidates(lib.live, found(lib).where("id % 2 = 0")).select("id", "doi", "sure"),
-        cte("SELECT id, '10.2000/a' || id AS doi, true AS sure FROM lib_live WHERE id % 2 = 0 UNION ALL SELECT id, '10.2000/b' || id, true FROM lib_live WHERE id % 10 = 0"),
+        lambda lib: identity.candidates(lib.live, taken(lib)),
+        cte("""WITH f AS (SELECT id, title, id % 2 = 0 AS same, CASE WHEN id % 7 = 0 THEN '10.1000/' || (id - id % 3 + 3) ELSE '10.2000/a' || id END AS doi FROM lib_live
+                UNION ALL SELECT id, title, true, '10.2000/b' || id FROM lib_live WHERE id % 5 = 0),
+            h AS (SELECT lower(doi) AS doi, id AS holder FROM lib_live WHERE doi IS NOT NULL)
+            SELECT f.id, f.doi, CAST(CASE WHEN same AND len(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: strlen(w) >= 4 AND w NOT IN ('study', 'methods'))) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS score, same AS sure, holder AS duplicate_of
+            FROM f LEFT JOIN h ON h.doi = lower(f.doi) AND holder <> f.id"""),
     ),
     "relink_folder": (
         lambda lib: identity.relinked(lib.live, lib.documents.where("id % 2 = 0").select(F.regexp_replace("path", "^/library/", "/disk/").alias("path"), "file_hash"), "/library/", "/disk/").select("id", "path"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from biblark.operators import search_index
 from biblark.operators.search_index import SearchIndex
+from biblark.operators.storage import shared_folder
 
 REGION, NATION, CUSTOMER = 1, 100, 1000
 
@@ -112,8 +113,11 @@ class Library:
         """The kept full-text index of ``texts`` (those of the documents), ``notes`` or ``annotations``."""
         columns = {"texts": ["text"], "notes": ["title", "body"], "annotations": ["kind", "quote"]}[name]
         rows = self.table("documents").select(F.col("doc_id").alias("id"), "text") if name == "texts" else getattr(self, name)
-        at = hashlib.sha256(self.folder.encode()).hexdigest()[:16]
-        return search_index.kept(self.spark, f"{name}-{at}", rows.select("id", *columns), "id", columns)
+        return search_index.kept(self.spark, self.kept_folder(name), rows.select("id", *columns), "id", columns)
+
+    def kept_folder(self, name: str) -> str:
+        """Where an index over these tables is kept."""
+        return f"{shared_folder(self.spark)}/kept/{name}-{hashlib.sha256(self.folder.encode()).hexdigest()[:16]}"
 
 
 CTES = {

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblark.functions import text as T
-from biblark.operators import hierarchy, retrieval, vectors
+from biblark.operators import hierarchy, passages, retrieval, vectors
 from biblark.operators.neighbours import neighbours
+from biblark.operators.storage import stored
 from biblark.plans.library import REGION, Library
 
 TERMS = ["that", "with"]
@@ -65,6 +66,33 @@ def coverage(lib: Library) -> DataFrame:
     return total.join(have.withColumn("e", F.lit(1)), "id", "left").agg(F.count("*").alias("total"), F.count("e").alias("embedded"), F.count_if(F.col("e").isNull()).alias("missing"))
 
 
+def page_passages(lib: Library) -> DataFrame:
+    return passages.page_chunks(passages.pages_of(docs(lib), "id", "text"))
+
+
+def passage_index(lib: Library) -> passages.PassageIndex:
+    """Built once a folder and session; again if the number of passages has changed."""
+    index = passages.PassageIndex(lib.spark, lib.kept_folder("passages"))
+    found = stored(page_passages(lib), "passages")
+    if index.search.stale(found):
+        index.build(found)
+    return index
+
+
+def cited_documents(lib: Library) -> DataFrame:
+    """Citations between the documents whose texts are here."""
+    here = docs(lib).select("id")
+    ties = lib.references.select(F.col("document_id").alias("a"), F.regexp_extract("ref_doi", "[0-9]+$", 0).cast("long").alias("b"))
+    return ties.join(here.withColumnRenamed("id", "a"), "a", "left_semi").join(here.withColumnRenamed("id", "b"), "b", "left_semi")
+
+
+def answers(lib: Library) -> DataFrame:
+    """Passages for the title of every document whose id is divisible by 100."""
+    questions = docs(lib).where("id % 100 = 0").select(F.col("id").alias("question"), F.col("title").alias("text"))
+    found = passages.retrieve(passage_index(lib), questions, cited_documents(lib), edges(lib))
+    return found.select("question", "n", "document_id", "ord", "page", "relation", "score", F.sha2("excerpt", 256).alias("excerpt"))
+
+
 WORDS = "list_filter(regexp_split_to_array(replace(strip_accents(lower(text)), 'ß', 'ss'), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 LINE = "coalesce(trim(list_filter(string_split(text, chr(10)), lambda l: trim(l, ' #' || chr(9) || chr(13)) <> '')[1], ' #' || chr(9) || chr(13)), '')"
 BM25 = f"""w AS (SELECT doc_id AS id, {WORDS} AS t FROM documents),
@@ -93,6 +121,41 @@ EDGES = edges_sql("embeddings")
 INSIDE = "(SELECT * FROM embeddings WHERE vec_id IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 AND o_orderkey % 10 <> 0))"
 CENTRES = """x AS (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding) AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY 1, 2),
     c AS (SELECT label, list(v ORDER BY i) AS c FROM m GROUP BY 1)"""
+#: Passages on word borders: an end is the first place at which the words' bytes, and one each, reach 1,000; the next
+#: passage starts as many words back as 200 bytes need.
+def cut_sql(parts: str) -> str:
+    """``parts``: doc_id, page, text."""
+    return f"""pt AS ({parts}),
+    wd AS (SELECT doc_id, page, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, page, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM pt)),
+    sz AS (SELECT doc_id, page, list(w ORDER BY i) AS ws, list_concat([0], list(c ORDER BY i)) AS cum FROM (SELECT *, CAST(sum(strlen(w) + 1) OVER (PARTITION BY doc_id, page ORDER BY i) AS BIGINT) AS c FROM wd) GROUP BY doc_id, page),
+    ck AS (SELECT doc_id, page, ws, cum, 0 AS k, CAST(0 AS BIGINT) AS s, CAST(coalesce(list_position(list_transform(cum, lambda x: x >= 1000), true), len(cum)) - 1 AS BIGINT) AS e FROM sz
+        UNION ALL SELECT doc_id, page, ws, cum, k + 1, s2, CAST(coalesce(list_position(list_transform(cum, lambda x: x - cum[s2 + 1] >= 1000), true), len(cum)) - 1 AS BIGINT) FROM
+            (SELECT *, CAST(greatest(len(list_filter(cum[1 : e + 1], lambda x: cum[e + 1] - x >= 200)) - 1, s + 1) AS BIGINT) AS s2 FROM ck WHERE e < len(ws)))"""
+
+
+PAGES = "SELECT doc_id, unnest(range(0, greatest(CAST(ceil(length(text) / 3000.0) AS BIGINT), 1))) + 1 AS page, substring(text, unnest(range(0, greatest(CAST(ceil(length(text) / 3000.0) AS BIGINT), 1))) * 3000 + 1, 3000) AS text FROM documents"
+PASSAGES = f"""{cut_sql(PAGES)},
+    ps AS (SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, k) - 1 AS ord, CAST(page AS INT) AS page, array_to_string(ws[s + 1 : e], ' ') AS passage FROM ck)"""
+ANSWERS = f"""WITH RECURSIVE {PASSAGES},
+    pw AS (SELECT document_id, ord, page, passage, {WORDS.replace("lower(text)", "lower(passage)")} AS t FROM ps),
+    st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM pw),
+    po AS (SELECT document_id, ord, page, len(t) AS length, term, count(*) AS tf FROM (SELECT document_id, ord, page, t, unnest(t) AS term FROM pw) GROUP BY document_id, ord, page, length, term),
+    qs AS (SELECT doc_id AS question, unnest(list_distinct({WORDS.replace("lower(text)", f"lower({LINE})")})) AS term FROM documents WHERE doc_id % 100 = 0),
+    df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+    ch AS (SELECT question, term, df FROM qs JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY question ORDER BY df, term) <= 4),
+    sc AS (SELECT question, document_id, ord, page, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM ch JOIN po USING (term), st GROUP BY ALL),
+    mt AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, document_id, ord) AS rank FROM sc QUALIFY rank <= 6),
+    md AS (SELECT DISTINCT question, document_id FROM mt),
+    ce AS (SELECT DISTINCT l_orderkey AS a, l_partkey * 3 AS b FROM lineitem WHERE l_orderkey IN (SELECT doc_id FROM documents) AND l_partkey * 3 IN (SELECT doc_id FROM documents)),
+    cb AS (SELECT a, b FROM ce UNION ALL SELECT b, a FROM ce),
+    ct AS (SELECT question, b AS document_id, row_number() OVER (PARTITION BY question ORDER BY count(DISTINCT a) DESC, b) AS rank FROM md JOIN cb ON a = document_id AND a <> b WHERE b IN (SELECT document_id FROM ps) AND (question, b) NOT IN (SELECT question, document_id FROM md) GROUP BY question, b QUALIFY rank <= 3),
+    {EDGES},
+    sb AS (SELECT a, b, weight FROM e UNION ALL SELECT b, a, weight FROM e),
+    sm AS (SELECT question, b AS document_id, row_number() OVER (PARTITION BY question ORDER BY max(weight) DESC, b) AS rank FROM md JOIN sb ON a = document_id WHERE b IN (SELECT document_id FROM ps) AND (question, b) NOT IN (SELECT question, document_id FROM md UNION ALL SELECT question, document_id FROM ct) GROUP BY question, b QUALIFY rank <= 3),
+    ot AS (SELECT *, 'citation' AS relation FROM ct UNION ALL SELECT *, 'similar' FROM sm),
+    bp AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY question, document_id ORDER BY score DESC, ord) = 1),
+    al AS (SELECT question, document_id, ord, score, 'match' AS relation, rank FROM mt UNION ALL SELECT ot.question, ot.document_id, coalesce(bp.ord, 0), coalesce(score, 0), relation, rank FROM ot LEFT JOIN bp ON bp.question = ot.question AND bp.document_id = ot.document_id)
+    SELECT question, row_number() OVER (PARTITION BY question ORDER BY list_position(['match', 'citation', 'similar'], relation), rank) AS n, document_id, ord, page, relation, CAST(score AS DOUBLE) AS score, sha256(passage) AS excerpt FROM al JOIN ps USING (document_id, ord)"""
 
 QUERIES = {
     "fts_and_match": (lambda lib: lib.index("texts").match_all(" ".join(TERMS)), f"SELECT doc_id AS id FROM documents WHERE list_has_all({WORDS}, ['that', 'with'])"),
@@ -122,5 +185,8 @@ QUERIES = {
         lambda lib: vectors.suggestions(embedded(lib), "id", "embedding", "label", 3),
         f"WITH {CENTRES}, s AS (SELECT c.label, e.vec_id AS id, round(greatest(0, least(1, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.c))), 6) AS score FROM embeddings e JOIN c ON e.label <> c.label) SELECT label, id, score FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, id) <= 3",
     ),
-    "passages": (lambda lib: retrieval.chunks(docs(lib), "id", "text"), None),
+    "passages": (lambda lib: retrieval.chunks(docs(lib), "id", "text"), f"WITH RECURSIVE {cut_sql('SELECT doc_id, 0 AS page, text FROM documents')} SELECT doc_id AS id, k AS ord, array_to_string(ws[s + 1 : e], ' ') AS passage FROM ck"),
+    "page_passages": (page_passages, f"WITH RECURSIVE {PASSAGES} SELECT * FROM ps"),
+    "passage_answers": (answers, ANSWERS),
+    "passage_index_status": (lambda lib: passage_index(lib).status(docs(lib), "id"), f"WITH RECURSIVE {PASSAGES} SELECT count(DISTINCT document_id) AS indexed_docs, (SELECT count(*) FROM documents) AS total_docs, count(*) AS chunks FROM ps"),
 }

@@ -19,11 +19,11 @@ def pages(lib: Library) -> DataFrame:
 
 
 def inverted(lib: Library) -> DataFrame:
-    """Inverted indexes as JSON, built from first words, and read back."""
-    words = F.transform(F.slice(F.split(F.regexp_replace("title", "[^A-Za-z ]", ""), " +"), 1, 12), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    placed = titles(lib).select("id", F.explode(words).alias("p")).where("p.w <> ''").groupBy("id", "p.w").agg(F.sort_array(F.collect_list("p.i")).alias("at"))
+    """Inverted indexes of whole texts as JSON, and read back."""
+    words = F.transform(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " +"), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    placed = lib.table("documents").select(F.col("doc_id").alias("id"), F.explode(words).alias("p")).where("p.w <> ''").groupBy("id", "p.w").agg(F.sort_array(F.collect_list("p.i")).alias("at"))
     index = placed.groupBy("id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("w", "at")))).alias("index"))
-    return index.select("id", T.inverted_abstract(F.col("index")).alias("text"))
+    return index.select("id", F.sha2(T.inverted_abstract(F.col("index")), 256).alias("digest"))
 
 
 def routed(lib: Library) -> DataFrame:
@@ -51,7 +51,7 @@ QUERIES = {
     ),
     "inverted_abstract": (
         inverted,
-        f"WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(regexp_replace({LINE}, '[^A-Za-z ]', '', 'g'), ' +')[1:12], lambda x: x <> '') AS w FROM documents) SELECT id, array_to_string(w, ' ') AS text FROM w WHERE len(w) > 0",
+        "WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +'), lambda x: x <> '') AS w FROM documents) SELECT id, sha256(array_to_string(w, ' ')) AS digest FROM w WHERE len(w) > 0",
     ),
     "identifier_route": (
         routed,

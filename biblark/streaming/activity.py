@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,22 +38,25 @@ def rolling_counts(events: DataFrame, length: str = "60 seconds", step: str = "1
 
 def jobs(events: DataFrame) -> DataFrame:
     """(node, at, busy, seconds): a row for each job that closes. A start older than the node's last close is
-    passed over; the number of open jobs never falls below zero; seconds run from the last start."""
+    passed over; the number of open jobs never falls below zero; seconds run from the last start. Blips and progress
+    are left out before the state; of a node's share of a micro-batch only three numbers an event are held."""
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         busy, started, closed = state.get if state.exists else (0, -1, -1)
+        ts, ids, starts = (np.concatenate(c) for c in zip(*((b["ts"].to_numpy(), b["id"].to_numpy(), b["starts"].to_numpy(dtype=bool)) for b in batches), strict=True))
+        order = np.lexsort((ids, ts))
         out = []
-        for row in pd.concat(batches).sort_values(["ts", "id"]).itertuples():
-            if row.state == "start":
-                if row.ts >= closed:
-                    busy, started = busy + 1, row.ts
-            elif row.state in ("ok", "err", "warn"):
-                busy, closed = max(0, busy - 1), max(closed, row.ts)
-                out.append((key[0], row.ts, busy, (row.ts - started) / 1000 if started >= 0 else None))
+        for at, is_start in zip(ts[order].tolist(), starts[order].tolist(), strict=True):
+            if is_start:
+                if at >= closed:
+                    busy, started = busy + 1, at
+            else:
+                busy, closed = max(0, busy - 1), max(closed, at)
+                out.append((key[0], at, busy, (at - started) / 1000 if started >= 0 else None))
         state.update((busy, started, closed))
         yield pd.DataFrame(out, columns=["node", "at", "busy", "seconds"])
 
-    narrow = events.select("id", "node", "state", "ts")
+    narrow = events.where("state in ('start', 'ok', 'err', 'warn')").select("id", "node", (F.col("state") == "start").alias("starts"), "ts")
     return narrow.groupBy("node").applyInPandasWithState(follow, "node string, at long, busy int, seconds double", "busy int, started long, closed long", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -101,24 +105,21 @@ def decided(hits: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def debounced(requests: DataFrame, wait_ms: int = 2000) -> DataFrame:
-    """(node, first, n): requests within ``wait_ms`` of the first one since the last run count as one run."""
+    """(node, first, due): the runs that requests (node, ts) lead to. The first request sets a run off ``wait_ms`` later, those
+    in between join it. A run is given out with its first request, so none waits for another one; requests that are
+    older than the latest run's first one belong to runs given out before."""
 
     def collapse(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, n = state.get if state.exists else (-1, 0)
+        (first,) = state.get if state.exists else (None,)
         out = []
-        for ts in sorted(pd.concat(batches)["ts"].tolist()):
-            if n and ts <= first + wait_ms:
-                n += 1
-                continue
-            if n:
-                out.append((key[0], first, n))
-            first, n = ts, 1
-        if state.hasTimedOut or not out and not n:
-            return
-        state.update((first, n))
-        yield pd.DataFrame(out, columns=["node", "first", "n"])
-
-    return requests.select("node", "ts").groupBy("node").applyInPandasWithState(collapse, "node string, first long, n long", "first long, n long", "append", GroupStateTimeout.NoTimeout)
+        for ts in np.unique(np.concatenate([b["ts"].to_numpy() for b in batches])):
+            if first is None or ts > first + wait_ms:
+                first = int(ts)
+                out.append((key[0], first, first + wait_ms))
+        state.update((first,))
+        yield pd.DataFrame(out, columns=["node", "first", "due"])
+
+    return requests.where("ts is not null").select("node", "ts").groupBy("node").applyInPandasWithState(collapse, "node string, first long, due long", "first long", "append", GroupStateTimeout.NoTimeout)
 
 
 def arrivals(spark: SparkSession, folder: str, most_files: int = 100) -> DataFrame:

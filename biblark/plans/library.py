@@ -116,8 +116,10 @@ class Library:
         return search_index.kept(self.spark, self.kept_folder(name), rows.select("id", *columns), "id", columns)
 
     def kept_folder(self, name: str) -> str:
-        """Where an index over these tables is kept."""
-        return f"{shared_folder(self.spark)}/kept/{name}-{hashlib.sha256(self.folder.encode()).hexdigest()[:16]}"
+        """Where an index over these tables is kept, for as long as the application runs: the tables behind a path may be
+        others next time, with as many rows. A library that changes by updates keeps its index in a folder of its own."""
+        tables = hashlib.sha256(self.folder.encode()).hexdigest()[:16]
+        return f"{shared_folder(self.spark)}/kept/{self.spark.sparkContext.applicationId}/{name}-{tables}"
 
 
 CTES = {

@@ -28,6 +28,7 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN m <> page_id THEN m END AS refers_to
         FROM p LEFT JOIN f USING (h)""",
+    "op6_embedding_near_dedup": sql.EMBEDDINGS,
     "op11_merkle_manifest": sql.MANIFEST,
     "op12_spelling_variants": sql.SPELLING,
     "op13_url_filters": sql.URLS,

@@ -1,4 +1,4 @@
-"""The manifest, the spelling variants and the URL filters in SQL, for comparison."""
+"""Embedding links, the manifest, the spelling variants and the URL filters in SQL, for comparison."""
 
 from __future__ import annotations
 
@@ -94,3 +94,11 @@ URLS = f"""
     bad AS (SELECT host FROM (SELECT host, coalesce(h1.a, d1.a, s1.a) AS a, coalesce(h1.b, d1.b, s1.b) AS b FROM names LEFT JOIN h1 USING (host) LEFT JOIN d1 USING (domain) LEFT JOIN s1 USING (suffix))
         WHERE 1 / (1 + exp(-(ln(a / b) + 1.645 * sqrt(1 / a + 1 / b)))) < 0.5)
     SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN bad ON bad.host = r.host"""
+
+#: All pairs, and what they reach.
+EMBEDDINGS = """
+    WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+    r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.c),
+    m AS (SELECT a, min(c) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblark.functions import text as T
-from biblark.operators import bibliography, catalog, citations, hierarchy, snowball
+from biblark.operators import bibliography, catalog, citations, hierarchy, palette, snowball
 from biblark.operators.storage import stored
 from biblark.plans.library import CUSTOMER, NATION, REGION, Library, cte
 
@@ -134,6 +134,7 @@ QUERIES = {
     "annotation_counts": (lambda lib: lib.annotations.groupBy("document_id").agg(F.count("*").alias("n")), cte("SELECT document_id, count(*) AS n FROM lib_annotations GROUP BY 1")),
     "daily_pick": (lambda lib: catalog.daily_pick(lib, 12345), cte("SELECT id, title FROM (SELECT id, title, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM lib_live WHERE NOT is_read) WHERE k = 12345 % n")),
     "backup_keep_newest": (lambda lib: lib.watch_hits.select("id", "watch", "found_at", F.expr("row_number() OVER (PARTITION BY watch ORDER BY found_at DESC, id DESC)").alias("k")).where("k <= 5").select("id", "watch"), cte("SELECT id, watch FROM (SELECT id, watch, row_number() OVER (PARTITION BY watch ORDER BY found_at DESC, id DESC) AS k FROM lib_watch_hits) WHERE k <= 5")),
+    "palette_search": (lambda lib: palette.search(lib.live.select(F.coalesce("venue", F.lit("")).alias("section"), "id", "title", F.lit(None).cast("string").alias("keywords")), "Sty mtd 4"), None),
     # citations
     "snowball_trees": (grown, cte(f"{SNOWBALL} SELECT seed, CAST(hop AS INT) AS hop, place, id, parent, direction FROM tr")),
     "snowball_pruned": (

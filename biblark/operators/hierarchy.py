@@ -72,9 +72,3 @@ def delete_collection(collections: DataFrame, gone: int) -> DataFrame:
     parent = collections.where(F.col("id") == gone).select(F.col("id").alias("parent_id"), F.col("parent_id").alias("up"))
     moved = collections.where(F.col("id") != gone).join(parent, "parent_id", "left")
     return moved.select("id", "name", F.when(F.col("parent_id") == gone, F.col("up")).otherwise(F.col("parent_id")).alias("parent_id"))
-
-
-def numbered_names(entries: DataFrame) -> DataFrame:
-    """``entries`` (folder, name, id) with shown: the k-th of equal names in a folder gets " (k)"."""
-    k = F.row_number().over(Window.partitionBy("folder", "name").orderBy("id"))
-    return entries.withColumn("shown", F.when(k == 1, F.col("name")).otherwise(F.concat("name", F.lit(" ("), k.cast("string"), F.lit(")"))))

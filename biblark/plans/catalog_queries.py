@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblark.functions import text as T
-from biblark.operators import bibliography, catalog, citations, hierarchy, palette, snowball
+from biblark.operators import bibliography, catalog, citations, folders, hierarchy, palette, snowball
 from biblark.operators.storage import stored
 from biblark.plans.library import CUSTOMER, NATION, REGION, Library, cte
 
@@ -83,6 +83,23 @@ def pruned(lib: Library) -> DataFrame:
     return snowball.without_subtrees(tree, tree.where("hop = 1 and place = 1").select("seed", "id")).select("seed", "hop", "id")
 
 
+
+class Earlier(Library):
+    """The library before every seventh document was filed."""
+
+    @property
+    def members(self) -> DataFrame:
+        return super().members.where("document_id % 7 <> 0")
+
+
+FILES = """{0}filed AS (SELECT coalesce(p.folder, 'Senza raccolta') AS folder, d.id, d.path AS source,
+        coalesce(a.family || ' ', '') || coalesce(d.year || ' — ', '') || d.title AS stem, m.collection_id
+    FROM (SELECT * FROM lib_live WHERE path NOT LIKE 'ref:%') d LEFT JOIN {1} m ON m.document_id = d.id
+    LEFT JOIN (SELECT c.id, concat_ws('/', g.name, f.name, c.name) AS folder FROM lib_collections c LEFT JOIN lib_collections f ON f.id = c.parent_id LEFT JOIN lib_collections g ON g.id = f.parent_id) p ON p.id = m.collection_id
+    LEFT JOIN (SELECT da.document_id, arg_min(u.family, row(da.position, u.id)) AS family FROM lib_document_authors da JOIN lib_authors u ON u.id = da.author_id GROUP BY 1) a ON a.document_id = d.id),
+    {0}files AS (SELECT folder, id, source, stem || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END || '.pdf' AS name FROM (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY id) AS k FROM {0}filed))"""
+EVERY = "{0}every AS (SELECT DISTINCT array_to_string(parts[1:k], '/') AS folder FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT DISTINCT string_split(folder, '/') AS parts FROM {0}files)))"
+
 QUERIES = {
     "catalog_search": (lambda lib: catalog.search(lib, "urgent", 50), listing("lower(title) LIKE '%urgent%' OR lower(venue) LIKE '%urgent%' OR lower(doi) LIKE '%urgent%' OR lower(citekey) LIKE '%urgent%' OR EXISTS (SELECT 1 FROM lib_document_authors da JOIN lib_authors a ON a.id = da.author_id WHERE da.document_id = d.id AND (lower(a.family) LIKE '%urgent%' OR lower(a.given) LIKE '%urgent%'))", "year DESC NULLS LAST, title NULLS FIRST, id", 50)),
     "catalog_search_author": (lambda lib: catalog.search(lib, "SUPPLIER#000000007", 1000), listing("lower(title) LIKE '%supplier#000000007%' OR EXISTS (SELECT 1 FROM lib_document_authors da JOIN lib_authors a ON a.id = da.author_id WHERE da.document_id = d.id AND lower(a.family) LIKE '%supplier#000000007%')", "year DESC NULLS LAST, title NULLS FIRST, id", 1000)),
@@ -162,7 +179,16 @@ QUERIES = {
     ),
     "delete_collection": (lambda lib: hierarchy.delete_collection(lib.collections, NATION + 2), cte(f"SELECT c.id, c.name, CASE WHEN c.parent_id = {NATION + 2} THEN (SELECT parent_id FROM lib_collections WHERE id = {NATION + 2}) ELSE c.parent_id END AS parent_id FROM lib_collections c WHERE c.id <> {NATION + 2}")),
     "collection_documents": (lambda lib: lib.members.join(lib.live.select(F.col("id").alias("document_id"), "title"), "document_id").join(lib.collections.select(F.col("id").alias("collection_id"), "name"), "collection_id").select("collection_id", "name", "document_id", "title"), cte("SELECT m.collection_id, c.name, m.document_id, d.title FROM lib_members m JOIN lib_live d ON d.id = m.document_id JOIN lib_collections c ON c.id = m.collection_id")),
-    "suffix_disambiguation": (lambda lib: hierarchy.numbered_names(lib.live.select(F.coalesce("venue", F.lit("")).alias("folder"), F.col("title").alias("name"), "id")).select("folder", "id", "shown"), cte("SELECT coalesce(venue, '') AS folder, id, CASE WHEN row_number() OVER (PARTITION BY coalesce(venue, ''), title ORDER BY id) = 1 THEN title ELSE title || ' (' || row_number() OVER (PARTITION BY coalesce(venue, ''), title ORDER BY id) || ')' END AS shown FROM lib_live")),
+    "folder_files": (lambda lib: folders.projection(lib), cte(f"WITH {FILES.format('', 'lib_members')} SELECT * FROM files")),
+    "folder_changes": (
+        lambda lib: folders.changes(folders.projection(Earlier.of(lib.spark, lib.folder)), folders.projection(lib)),
+        cte(f"WITH {FILES.format('', 'lib_members')}, old_members AS (SELECT * FROM lib_members WHERE document_id % 7 <> 0), {FILES.format('old_', 'old_members')} SELECT 'remove' AS action, * FROM (SELECT folder, name, source FROM old_files EXCEPT ALL SELECT folder, name, source FROM files) UNION ALL SELECT 'make', * FROM (SELECT folder, name, source FROM files EXCEPT ALL SELECT folder, name, source FROM old_files)"),
+    ),
+    "folders_to_make": (
+        lambda lib: folders.folder_changes(folders.projection(Earlier.of(lib.spark, lib.folder)), folders.projection(lib)),
+        cte(f"WITH {FILES.format('', 'lib_members')}, old_members AS (SELECT * FROM lib_members WHERE document_id % 7 <> 0), {FILES.format('old_', 'old_members')}, {EVERY.format('')}, {EVERY.format('old_')} SELECT 'remove' AS action, folder FROM old_every WHERE folder NOT IN (SELECT folder FROM every) UNION ALL SELECT 'make', folder FROM every WHERE folder NOT IN (SELECT folder FROM old_every)"),
+    ),
+    "suffix_disambiguation": (lambda lib: folders.numbered_names(lib.live.select(F.coalesce("venue", F.lit("")).alias("folder"), F.col("title").alias("name"), "id")).select("folder", "id", "shown"), cte("SELECT coalesce(venue, '') AS folder, id, CASE WHEN row_number() OVER (PARTITION BY coalesce(venue, ''), title ORDER BY id) = 1 THEN title ELSE title || ' (' || row_number() OVER (PARTITION BY coalesce(venue, ''), title ORDER BY id) || ')' END AS shown FROM lib_live")),
     # keys and formats
     "citekeys": (
         lambda lib: bibliography.assigned_keys(citation_items(lib).where("citekey IS NULL OR trim(citekey) = ''").select("id", "year", "title", F.get("authors", 0)["family"].alias("family")), lib.documents),

@@ -77,7 +77,7 @@ def safe_name(name: Column) -> Column:
 def vault_pages(docs: DataFrame) -> DataFrame:
     """(file, content) for documents with title, authors (array), year, venue, doi, tags (array) and abstract:
     Markdown with front matter, one row a document; equal names are numbered apart."""
-    from biblark.operators.hierarchy import numbered_names
+    from biblark.operators.folders import numbered_names
 
     quoted = lambda c: F.when(c.isNotNull(), T.yaml_quoted(c))
     field = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value))

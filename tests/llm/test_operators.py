@@ -284,10 +284,32 @@ def test_network_gradient():
 
 def test_grammar_reads_clauses():
     g = toxicity.Grammar({"idiot": 3.0}, {})
-    aimed, negated, said = g.features("you are an idiot."), g.features("you are not an idiot."), g.features("he wrote: idiot.")
-    assert aimed[0] == negated[0] == 3.0 and aimed[2] > 0 and negated[3] > aimed[3]
-    assert g.features("she said an idiot")[4] > said[4] == 0  # a new clause ends reported speech
-    assert g.features(None) == g.features("")
+    total = lambda text: sum(g.clause_score(c) for c in g.clauses(text))
+    near = lambda text, value: abs(total(text) - value) < 1e-9
+    assert near("idiot", 3.0) and near("The word idiot is old.", 3.0) and near("you are an idiot", 4.5)
+    assert near("no idiot", 0.9) and near("you are not an idiot", 2.4) and near("not once in my life an idiot", 3.0)
+    assert near("i will kill you", 3.0) and near("kill", 0.0) and near("do not kill", 0.0) and near("i will not kill you", 0.9)
+    assert near("Anna said: idiot", 1.2) and near("he said: idiot", 2.7) and near("he wrote that you are no idiot", 0.6) and near("note: idiot", 3.0)
+    assert near('the "idiot" again', 1.2) and near("« idiot » idiot", 4.2) and near('"go. idiot." idiot', 4.2)
+    assert near('an open " mark\nidiot', 3.0)  # a line ends quotation
+    assert near("he said so. idiot", 3.0)  # a sentence ends reported speech
+    assert g.features("idiot") == g.features("idiot.") == g.features(" idiot ...!\n")
+    assert g.features(None) == g.features("") == g.features('."') == [0.0] * toxicity.FEATURES
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_marks_keep_their_signs(learned):
+    """Also where the labels would teach the opposite: toxic texts deny, clean ones aim."""
+    texts = [t for k in range(40) for t in (f"this is not an idiot at all number{k} w{k}. and no scum here", f"you see an idiot w{k} once. then much else. and more of it. and more")]
+    grammar = toxicity.learn(texts, np.array([1, 0] * 40)) if learned else toxicity.learn([], np.array([]))
+    assert grammar.weights is None or (grammar.weights[:-2] >= 0).all()
+    of = lambda text: grammar.score(np.array([grammar.features(text)]))[0]
+    order = ["the word is not idiot", "the word is idiot", "the word is you idiot"]
+    said = ["he wrote: you idiot", "you idiot"]
+    threat = ["i will not kill you", "i will kill you"]
+    for row in (order, said, ['the "idiot"', "the idiot"], threat):
+        scores = [of(t) for t in row]
+        assert scores == sorted(scores) and (learned or len(set(scores)) == len(scores))
 
 
 # ---- SimHash

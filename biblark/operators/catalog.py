@@ -222,3 +222,27 @@ def thin_metadata(lib) -> DataFrame:
     """(id) of live documents without a title, a year or an author."""
     thin = lib.live.join(lib.document_authors.select(F.col("document_id").alias("id"), F.lit(True).alias("_has")).distinct(), "id", "left")
     return thin.where("title IS NULL OR trim(title) = '' OR year IS NULL OR _has IS NULL").select("id")
+
+
+def weighted_pick(docs: DataFrame, seed: int) -> DataFrame:
+    """One of ``docs`` at random, the same for the same seed: unread ones weigh 2 more than 1, never opened ones 1.5, favorites
+    0.5. A race of exponential clocks, read from a digest of seed and id, so that no total is needed."""
+    weight = 1 + F.when(F.col("is_read"), 0).otherwise(2) + F.when(F.coalesce("last_page", F.lit(0)) == 0, 1.5).otherwise(0) + F.when(F.col("favorite"), 0.5).otherwise(0)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
+    chance = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return docs.orderBy(-F.log(chance) / weight, "id").limit(1).select("id", "title")
+
+
+def pretty_json(record: Column) -> Column:
+    """A record as indented JSON with its nulls, a space after each colon only."""
+    return F.regexp_replace(F.to_json(record, {"pretty": "true", "ignoreNullFields": "false"}), r'(?m)^(\s*"(?:[^"\\\\]|\\\\.)*") : ', "$1: ")
+
+
+def filing_counts(lib: Library) -> DataFrame:
+    """(kind, id, n): live documents of each collection, those of none, and all of them."""
+    live = lib.live.select(F.col("id").alias("document_id"))
+    filed = lib.members.join(live, "document_id", "left_semi").distinct()
+    direct = lib.collections.select("id").join(filed.groupBy(F.col("collection_id").alias("id")).agg(F.count("*").alias("n")), "id", "left")
+    alone = live.join(filed, "document_id", "left_anti")
+    size = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("id"), "n")
+    return direct.select(F.lit("collection").alias("kind"), "id", F.coalesce("n", F.lit(0)).alias("n")).unionByName(size(alone, "unfiled")).unionByName(size(live, "total"))

@@ -63,14 +63,27 @@ def in_collection(notes: DataFrame, collection: int) -> DataFrame:
     return notes if collection == 0 else notes.where("collection_id IS NULL") if collection == -1 else notes.where(F.col("collection_id") == collection)
 
 
-def snapshot(lib: Library) -> DataFrame:
-    """Counters of the library, one row each."""
+def sorted_notes(notes: DataFrame, by: str = "updated") -> DataFrame:
+    """Notes (id, title, created_at, updated_at) by title, or newest first by creation or change, those without a time last;
+    ties by title without regard to case and accents, then by id."""
+    if by not in ("title", "created", "updated"):
+        raise ValueError(f"no order by {by!r}")
+    title = [F.collate("title", "UNICODE_CI_AI").asc(), F.col("id").asc()]
+    return notes.orderBy(*([] if by == "title" else [F.desc_nulls_last(f"{by}_at")]), *title)
+
+
+def snapshot(lib: Library, passages: DataFrame | None = None) -> DataFrame:
+    """Counters of the library, one row each; with ``passages`` (document_id, ...) also how many there are and of how many
+    documents. Watches are the saved searches that have found anything."""
     one = lambda df, name, test="true": df.where(test).agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
     docs = lib.documents.agg(F.count_if(F.col("deleted_at").isNull()).alias("docs"), F.count_if(F.col("deleted_at").isNotNull()).alias("trash"), F.count_if(F.col("deleted_at").isNull() & F.col("path").startswith("ref:")).alias("refs_only"))
     out = docs.unpivot([], ["docs", "trash", "refs_only"], "counter", "n")
     for df, name in ((lib.table("embeddings"), "embedded"), (lib.notes, "notes"), (lib.collections, "collections")):
         out = out.unionByName(one(df, name))
-    return out
+    if passages is None:
+        return out
+    held = passages.agg(F.count_distinct("document_id").alias("rag_docs"), F.count("*").alias("rag_chunks")).unpivot([], ["rag_docs", "rag_chunks"], "counter", "n")
+    return out.unionByName(held).unionByName(one(lib.watch_hits.select("watch").distinct(), "watches"))
 
 
 def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:

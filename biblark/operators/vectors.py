@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biblark.operators import retrieval
 from biblark.operators.neighbours import neighbours
 from biblark.operators.storage import checkpointed
 
@@ -90,3 +91,59 @@ def principal_plane(vectors: DataFrame, key: str, column: str) -> DataFrame:
     top = moved.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("top"))
     scale = lambda c: F.when(F.col("top") > 0, F.col(c) / F.col("top")).otherwise(0.0).alias(c)
     return moved.join(F.broadcast(top)).select(key, scale("x"), scale("y"))
+
+
+def scaled(v: Column) -> Column:
+    """``v`` at length one; null for zero and empty vectors."""
+    length = F.sqrt(dot(v, v))
+    return F.when((F.size(v) > 0) & (length > 0), F.transform(v, lambda x: x.cast("double") / length))
+
+
+def name_vectors(postings: DataFrame, names: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(group, centroid): a vector for each of ``names`` (group, name) without a model, the mean of the ``vectors`` (id, v) of the
+    texts that hold all its words. ``postings``: id, term. A name that no text holds whole has none."""
+    words = names.select("group", F.array_distinct(retrieval.terms(F.col("name"))).alias("_t")).where("size(_t) > 0")
+    asked = words.select("group", F.size("_t").alias("_n"), F.explode("_t").alias("term"))
+    hits = asked.join(postings.select("id", "term").distinct(), "term").groupBy("group", "_n", "id").agg(F.count("*").alias("_k")).where("_k = _n")
+    return centroids(hits.join(vectors, "id").select("group", "v"), "group", "v")
+
+
+def mixed(content: DataFrame | None, names: DataFrame | None, weight: float = 0.5) -> DataFrame:
+    """(group, q): what a group is about, from its members' centroid (group, centroid), its name's, or both with ``weight`` on
+    the content. Scaled first, so the product of a scaled vector with q is the weighted mean of both cosines. A group
+    that lacks one of two asked for has none: no mode turns into another."""
+    parts = [d.select("group", scaled(F.col("centroid")).alias(f"_{i}")).where(f"_{i} is not null") for i, d in enumerate((content, names)) if d is not None]
+    if len(parts) == 1:
+        return parts[0].toDF("group", "q")
+    return parts[0].join(parts[1], "group").where("size(_0) = size(_1)").select("group", F.zip_with("_0", "_1", lambda a, b: weight * a + (1 - weight) * b).alias("q"))
+
+
+def suggested(vectors: DataFrame, members: DataFrame, about: DataFrame, limit: int, only_unfiled: bool = False) -> DataFrame:
+    """(group, id, score): for each group of ``about`` (group, q) the ``limit`` best of the ``vectors`` (id, v) outside it, or outside all
+    groups (``members``: group, id). Null, zero and empty vectors are never suggested. The score is the product of the scaled vector with q, held to 0 to 1. Vectors outside
+    all groups are sought as nearest neighbours, cell by cell; otherwise each group meets the vectors, and its
+    members are taken away before the best are chosen."""
+    asked = about.select("group", "q")
+    if only_unfiled:
+        open_ = vectors.join(members.select("id").distinct(), "id", "left_anti").where(scaled(F.col("v")).isNotNull())
+        near = neighbours(open_.select("id", "v"), "id", "v", limit, queries=asked.select(F.col("group").alias("id"), F.col("q").alias("v")), with_self=True)
+        pairs = near.select(F.col("src").alias("group"), F.col("dst").alias("id")).join(open_, "id").join(asked, "group")
+    else:
+        # Every part of the vectors meets a copy of the groups.
+        parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = vectors.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        copies = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = dealt.join(copies, "_part").where(F.size("v") == F.size("q")).drop("_part").join(members.select("group", "id").distinct(), ["group", "id"], "left_anti")
+    product = pairs.select("group", "id", dot(scaled(F.col("v")), F.col("q")).alias("_p")).where("_p is not null")
+    scored = product.select("group", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_p"))), 6).alias("score"))
+    best = Window.partitionBy("group").orderBy(F.desc("score"), "id")
+    return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit).drop("_n")
+
+
+def by_meaning(hits: DataFrame, members: DataFrame, vectors: DataFrame, floor: float, least: int = 3) -> DataFrame:
+    """``hits`` (group, v, ...) that come close to their group: the cosine with the centroid of its ``members`` (group, id) that have
+    ``vectors`` (id, v) is ``floor`` or more. Groups of fewer than ``least`` such members let everything pass."""
+    inside = members.select("group", "id").distinct().join(vectors, "id").select("group", "v")
+    full = inside.groupBy("group").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("group")
+    centre = centroids(inside.join(full, "group", "left_semi"), "group", "v")
+    return hits.join(centre, "group", "left").where(F.col("centroid").isNull() | (cosine(F.col("v"), F.col("centroid")) >= floor)).drop("centroid")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblark.operators import retrieval
+from biblark.operators.folders import running
 from biblark.operators.neighbours import neighbours
 from biblark.operators.storage import checkpointed
 
@@ -45,7 +46,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def communities(edges: DataFrame, rounds: int = 20, least: int = 3) -> DataFrame:
     """(id, community) by weighted label propagation, ties to the smallest label; small ones are -1 and the
-    others numbered by size, then by smallest member. Lineage is cut by reliable checkpoints."""
+    others numbered by size, then by smallest member. Labels that still move after ``rounds`` count as they are.
+    Lineage is cut by reliable checkpoints."""
     both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     labels = checkpointed(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
     for _ in range(rounds):
@@ -56,7 +58,10 @@ def communities(edges: DataFrame, rounds: int = 20, least: int = 3) -> DataFrame
         if not moved:
             break
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
-    order = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1)
+    # Numbers start behind all larger communities; as many rows meet in one window as there are different sizes.
+    larger = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = sizes.groupBy("n").agg(F.count("*").alias("_c")).select("n", F.coalesce(F.sum("_c").over(larger), F.lit(0)).alias("_behind"))
+    order = running(sizes, ["n"], "first", F.lit(1), "_i").join(behind, "n").withColumn("community", (F.col("_behind") + F.col("_i") - 1).cast("int"))
     return labels.join(order.select("label", "community"), "label", "left").select("id", F.coalesce("community", F.lit(-1)).alias("community"))
 
 

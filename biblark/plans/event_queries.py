@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from biblark.operators.storage import shared_folder
 from biblark.plans.library import Library, cte
-from biblark.streaming import activity, tokens
+from biblark.streaming import activity, novelty, tokens
 
 
 def shared(lib: Library) -> str:
@@ -60,6 +60,23 @@ def novel(lib: Library) -> DataFrame:
     return open_.groupBy(*key).agg(F.min("id").alias("id")).select("id", *key)
 
 
+NOW = "2024-02-01 12:00:00"
+
+
+def sweep_result(lib: Library) -> DataFrame:
+    """(part, watch, external_id, at) of one sweep of five watches: two at their first, one that rests, one due for an hour and
+    one due this minute."""
+    now = F.lit(NOW).cast("timestamp")
+    kind = F.col("event_type")
+    ago = F.when(kind == "view", 13).when(kind == "purchase", 1).when(kind == "signup", 12)
+    e = lib.table("events")
+    watches = e.select(kind.alias("watch"), (now - F.make_interval(hours=ago)).alias("last_run")).distinct()
+    found = e.select(kind.alias("watch"), F.concat(F.lit("x"), F.col("user_id").cast("string")).alias("external_id"), F.col("ts").cast("timestamp").alias("found_at"), "user_id")
+    out = novelty.swept(found, watches, found.where("user_id % 7 = 0"), found.where("user_id % 11 = 0"), now)
+    parts = [out.hits.select(F.lit("hit").alias("part"), "watch", "external_id", F.col("found_at").alias("at")), out.seen.select(F.lit("seen").alias("part"), "watch", "external_id", F.lit(None).cast("timestamp").alias("at")), out.watches.select(F.lit("watch").alias("part"), "watch", F.lit(None).cast("string").alias("external_id"), F.col("last_run").alias("at"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 def per_node(lib: Library) -> DataFrame:
     e = events(lib)
     return e.groupBy("node").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("start", "ok", "err")], F.max("ts").alias("last"))
@@ -110,6 +127,16 @@ QUERIES = {
     "event_days": (lambda lib: events(lib).groupBy(F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")), f"WITH {BASE} SELECT strftime(t, '%Y-%m-%d') AS day, count(*) AS n FROM e GROUP BY 1"),
     "json_props": (lambda lib: lib.table("events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n")), "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1"),
     "novelty_counts": (novelty_counts, cte("SELECT watch, count(*) AS n FROM lib_watch_hits WHERE state = 'new' GROUP BY 1")),
+    "novelty_sweep": (
+        sweep_result,
+        f"""WITH f AS (SELECT event_type AS watch, 'x' || user_id AS external_id, min(ts) AS t, user_id FROM events GROUP BY ALL),
+            g AS (SELECT * FROM f WHERE user_id % 7 <> 0 AND user_id % 11 <> 0),
+            w AS (SELECT DISTINCT event_type AS watch FROM events)
+            SELECT 'hit' AS part, watch, external_id, CAST(t AS TIMESTAMP) AS "at" FROM g WHERE watch IN ('view', 'signup')
+            UNION ALL SELECT 'seen', watch, external_id, NULL FROM g WHERE watch IN ('click', 'error')
+            UNION ALL SELECT 'watch', watch, NULL, CASE watch WHEN 'purchase' THEN TIMESTAMP '{NOW}' - INTERVAL 1 HOUR ELSE TIMESTAMP '{NOW}' END FROM w""",
+    ),
+    "novelty_feed": (lambda lib: novelty.feed(lib.watch_hits), cte("SELECT watch, count(*) OVER (PARTITION BY watch) AS n, row_number() OVER (PARTITION BY watch ORDER BY found_at DESC, external_id) AS place, external_id, found_at FROM lib_watch_hits WHERE state = 'new'")),
     "novelty_anti": (
         novel,
         cte("SELECT min(id) AS id, watch, external_id FROM lib_watch_hits h WHERE state = 'new' AND NOT EXISTS (SELECT 1 FROM lib_watch_hits o WHERE o.state <> 'new' AND o.watch = h.watch AND o.external_id = h.external_id AND o.found_at < h.found_at) GROUP BY watch, external_id"),

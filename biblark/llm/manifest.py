@@ -3,12 +3,13 @@
 Method: a radix-ranked trie. Sorting a corpus to number its documents is not
 needed: a document's rank in its language is the number of documents under
 smaller digits. Digits of doc_id are counted level by level, three hexadecimal
-digits at a time; only prefixes of more than ``SPLIT`` rows are counted at the
-next level, so a digit's window has at most 4,097 rows and a bucket that is
-numbered at the end about ``SPLIT``. The ranks' digits in the base of the fan-out
+digits at a time, until every prefix holds one row, whose rank is then the sum of
+what was counted before it; a digit's window has at most 4,097 rows. Languages get
+their numbers in the same way, from the digits of their bytes. The ranks' digits in the base of the fan-out
 are the keys of a second trie, whose nodes are reduced by longest prefix: each
 level groups by the key without its last digit, until one node is left. The
-siblings on the way back down are the proofs.
+siblings on the way back down are the proofs. Every leaf, tampered with or not,
+is folded with its proof and compared with the root.
 
 ``manifest`` gives a row per document with its leaf, the root of its language,
 the root of all and its path (left and right siblings of each level); ``folded``
@@ -33,7 +34,7 @@ from biblark.llm.common import Scratch, table
 
 FANOUT, BITS = 8, 3
 DIGITS = 3
-SPLIT = 65_536
+SPLIT = 1
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PATH = "array<struct<l:string,r:string>>"
@@ -54,7 +55,7 @@ def leaf(docs: DataFrame, text: Column | None = None) -> Column:
 
 
 def common_prefix(a: str, b: str) -> str:
-    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     return a[:n]
 
 
@@ -63,40 +64,41 @@ def id_digits(doc_id: Column) -> Column:
     return F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
 
 
-def ranked(scratch: Scratch, rows: DataFrame, split: int = SPLIT) -> DataFrame:
-    """``rows`` (g, doc_id, leaf, row and others) with r, the rank in g by (doc_id, leaf, row), from 0."""
-    least, most = rows.agg(F.min(id_digits(F.col("doc_id"))), F.max(id_digits(F.col("doc_id")))).first()
-    common = common_prefix(least or "0" * 16, most or "0" * 16)
-    digits = F.concat(F.coalesce(id_digits(F.col("doc_id")), F.lit(common.ljust(16))), F.substring("leaf", 1, 15), F.lpad(F.hex("row"), 16, "0"))
-    rows = rows.withColumn("_k", digits).withColumn("_cut", F.lit(0))
-    cut = len(common)
-    open_rows, above, heavy_at, bases = rows.select("g", "_k"), None, [], []
+def ranked(scratch: Scratch, rows: DataFrame, key: Column, shared: int, split: int = SPLIT) -> DataFrame:
+    """``rows`` (g and others) with r, the rank in g by ``key``, from 0. Keys are digits, no two alike in a group, the
+    first ``shared`` the same in all. Prefixes of at most ``split`` rows are not counted further, but numbered."""
+    left = rows.withColumn("_k", key).withColumn("r", F.lit(0).cast("long"))
+    levels, cut = [], shared
     while True:
         cut += DIGITS
-        counts = scratch.keep(open_rows.groupBy("g", F.substring("_k", 1, cut).alias("p")).agg(F.count("*").alias("n")), "digits")
-        before = Window.partitionBy("g", "up").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-        base = counts.withColumn("up", F.substring("p", 1, cut - DIGITS)).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        if above is not None:
-            base = base.join(above.select("g", F.col("p").alias("up"), F.col("base").alias("_b")), ["g", "up"]).withColumn("base", F.col("base") + F.col("_b"))
-        base = scratch.keep(base.select("g", "p", "n", "base"), "before")
-        bases.append((cut, base.where(F.col("n") <= split)))
-        above = base.where(F.col("n") > split)
-        if cut >= 47 or not above.limit(1).count():
+        at = left.withColumn("_p", F.substring("_k", 1, cut))
+        before = Window.partitionBy("g", F.substring("_p", 1, cut - DIGITS)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        counts = at.groupBy("g", "_p").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        counts = scratch.keep(counts, "digits")
+        at = at.join(counts, ["g", "_p"]).withColumn("r", F.col("r") + F.col("_b"))
+        levels.append(at.where(F.col("_n") <= split))
+        if not counts.where(F.col("_n") > split).limit(1).count():
             break
-        heavy = above.select("g", F.col("p").alias("_p"))
-        heavy_at.append((cut, heavy))
-        open_rows = open_rows.withColumn("_p", F.substring("_k", 1, cut)).join(heavy, ["g", "_p"], "left_semi").select("g", "_k")
-    # A row belongs to the first of its prefixes that is not heavy.
-    length = bases[0][0]
-    rows = rows.withColumn("_cut", F.lit(length))
-    for at, heavy in heavy_at:
-        rows = rows.withColumn("_p", F.substring("_k", 1, at)).join(heavy.withColumn("_heavy", F.lit(True)), ["g", "_p"], "left")
-        rows = rows.withColumn("_cut", F.when((F.col("_cut") == at) & F.col("_heavy"), at + DIGITS).otherwise(F.col("_cut"))).drop("_p", "_heavy")
-    rows = rows.withColumn("p", F.expr("substring(_k, 1, _cut)"))
-    all_bases = reduce(DataFrame.unionByName, [b.select("g", "p", "base") for _, b in bases])
-    within = Window.partitionBy("g", "p").orderBy("_k")
-    joined = rows.join(all_bases, ["g", "p"])
-    return joined.withColumn("r", F.col("base") + F.row_number().over(within) - 1).drop("_k", "_cut", "p", "base")
+        left = scratch.keep(at.where(F.col("_n") > split).select(*rows.columns, "_k", "r"), "open")
+    found = reduce(DataFrame.unionByName, levels)
+    if split > 1:
+        found = found.withColumn("r", F.col("r") + F.row_number().over(Window.partitionBy("g", "_p").orderBy("_k")) - 1)
+    return found.select(*rows.columns, "r")
+
+
+def ranked_documents(scratch: Scratch, rows: DataFrame, split: int = SPLIT) -> DataFrame:
+    """``rows`` (g, doc_id, leaf, row and others) ranked in g by (doc_id, leaf, row)."""
+    least, most = rows.agg(F.min(id_digits(F.col("doc_id"))), F.max(id_digits(F.col("doc_id")))).first()
+    common = common_prefix(least or "0" * 16, most or "0" * 16)
+    key = F.concat(F.coalesce(id_digits(F.col("doc_id")), F.lit(common.ljust(16))), F.substring("leaf", 1, 15), F.lpad(F.hex("row"), 16, "0"))
+    return ranked(scratch, rows, key, len(common), split)
+
+
+def ranked_languages(scratch: Scratch, tops: DataFrame) -> DataFrame:
+    """``tops`` (g and others) as one group, with lang for what was g, ranked by its bytes."""
+    rows = scratch.keep(tops.withColumnRenamed("g", "lang").withColumn("g", F.lit("")), "languages")
+    key = F.hex(F.encode("lang", "utf-8"))
+    return ranked(scratch, rows, key, len(common_prefix(*rows.agg(F.min(key), F.max(key)).first())))
 
 
 def height(n: Column) -> Column:
@@ -145,15 +147,6 @@ def described(runs: list[DataFrame], starts: DataFrame) -> DataFrame:
     raise AssertionError("no levels")
 
 
-def numbered(scratch: Scratch, groups: DataFrame) -> DataFrame:
-    """``groups`` with r, the rank of g in byte order: sorted ranges, numbered by the sizes of those before."""
-    sorted_ranges = scratch.keep(groups.repartitionByRange("g").sortWithinPartitions("g").withColumn("_id", F.monotonically_increasing_id()), "languages")
-    placed = sorted_ranges.withColumn("_part", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a range
-    return placed.join(before.drop("n"), "_part").withColumn("r", F.col("_b") + F.col("_i")).drop("_id", "_part", "_i", "_b")
-
-
 def manifest(spark: SparkSession, docs: DataFrame, more: Column | None = None, split: int = SPLIT) -> DataFrame:
     """(doc_id, leaf, subroot, root, path, more): ``more`` is a string column over ``docs`` that is carried along."""
     scratch = Scratch(spark, "manifest")
@@ -164,12 +157,12 @@ def manifest(spark: SparkSession, docs: DataFrame, more: Column | None = None, s
     langs, highest = groups.agg(F.count("*"), F.max("h")).first()
     if not langs:
         return spark.createDataFrame([], f"doc_id long, leaf string, subroot string, root string, path {PATH}, more string")
-    placed = ranked(scratch, leaves, split).join(groups.select("g", "h"), "g")
+    placed = ranked_documents(scratch, leaves, split).join(groups.select("g", "h"), "g")
     carried = F.to_json(F.struct("doc_id", "more"))
     runs = reduced(scratch, placed.select("g", "h", "r", F.col("leaf").alias("digest"), carried.alias("more")), highest)
-    of_lang = numbered(scratch, tops(runs).select("g", "h", "digest"))
+    of_lang = ranked_languages(scratch, tops(runs).select("g", "h", "digest"))
     over = next(k for k in range(22) if langs <= FANOUT**k)
-    subroots = of_lang.select(F.lit("").alias("g"), F.lit(over).alias("h"), "r", "digest", F.to_json(F.struct(F.col("g").alias("lang"), "h")).alias("more"))
+    subroots = of_lang.select("g", F.lit(over).alias("h"), "r", "digest", F.to_json(F.struct("lang", "h")).alias("more"))
     upper = reduced(scratch, subroots, over)
     root = tops(upper).first()["digest"]
     nothing = F.array().cast(PATH)
@@ -192,11 +185,11 @@ def folded(start: Column, path: Column) -> Column:
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's leaf, roots and proof; a third of the documents is tampered with and checked."""
+    """Every document's leaf, roots and proof; a third of the documents is tampered with, all are checked."""
     docs = table(spark, sf_dir, "documents").select(*FIELDS)
     chosen = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 3 == 0
-    tampered = F.when(chosen & docs["text"].rlike("[A-Z]"), leaf(docs, F.translate(docs["text"], UPPER, LOWER)))
+    tampered = F.when(chosen, leaf(docs, F.translate(docs["text"], UPPER, LOWER)))
     found = manifest(spark, docs, tampered)
-    now = F.when(F.col("more").isNull(), F.col("root")).otherwise(folded(F.col("more"), F.col("path")))
+    now = folded(F.coalesce("more", "leaf"), F.col("path"))
     found = found.select("doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), now.alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))

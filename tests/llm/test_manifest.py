@@ -84,3 +84,28 @@ def test_heavy_prefixes_are_split(spark, tmp_path):
 def test_more_than_one_level_of_languages(spark, tmp_path):
     rows = [(i, "s", f"l{i % 70}", i, "T") for i in range(90)]
     assert Counter(made(spark, tmp_path, rows)) == Counter(plain(rows))
+
+
+def test_every_leaf_is_folded_with_its_proof(spark, tmp_path, monkeypatch):
+    """A proof that does not lead to the root shows, for documents that nobody tampered with too."""
+    whole = manifest.manifest
+
+    def spoilt(*args):
+        found = whole(*args)
+        path = manifest.F.concat(manifest.F.array(manifest.F.struct(manifest.F.lit("0").alias("l"), manifest.F.lit("").alias("r"))), "path")
+        return found.withColumn("path", path)
+
+    monkeypatch.setattr(manifest, "manifest", spoilt)
+    rows = [(i, "s", "en", i, f"T{i}") for i in range(30)]
+    assert [r[6] for r in made(spark, tmp_path, rows)] == [False] * 30
+
+
+def test_ranks_come_from_counts_alone(spark, tmp_path, monkeypatch):
+    """Nothing is numbered in sorted order, neither documents nor languages."""
+    def sorts(*args, **kwargs):
+        raise AssertionError("sorted to be numbered")
+
+    monkeypatch.setattr(manifest.F, "row_number", sorts)
+    monkeypatch.setattr(type(spark.range(0)), "sortWithinPartitions", sorts)
+    rows = [*ODD, *[(37 * i, "web", ["de", "fr", "d", "deu"][i % 4], i, f"Text {i}") for i in range(90)]]
+    assert Counter(made(spark, tmp_path, rows)) == Counter(plain(rows))

@@ -8,9 +8,12 @@ the same at every size. Every link is then verified exactly, so the fingerprints
 can miss a link but never make one.
 
 Search in passes. First each text meets the nearest earlier candidate of each of
-its buckets, at most ``MASKS`` pairs a text; the verified ones make components.
-Then the same again with the nearest candidates of other components, earlier and
-later ones. Last, the texts that have any are compared once more, all against all
+its buckets; the verified ones make components. Then the same again with the nearest
+candidates of other components, earlier and later ones. A pair leaves the first bucket
+that its texts share and no other. So the nearest candidate of all is among a text's
+pairs, as it is the nearest in that bucket too, and no text with candidates is
+left out, as the first bucket where it has any gives one out; but few of the up to
+``MASKS`` buckets in which two texts meet make a row. Last, the texts that have any are compared once more, all against all
 of other components, by SimHash fingerprints of ``WIDE`` bits: a similarity of
 ``SIMILAR`` comes further apart than the radius about once in 700 times. Of a
 bucket only the texts of such pairs go on, each pair in the first bucket that its
@@ -30,7 +33,7 @@ words, apart from the case of A-Z, are one node, named by a 64-bit hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -118,6 +121,12 @@ def masks(count: int = MASKS, bits: int = BITS, seed: int = SEED) -> list[tuple[
     return out
 
 
+@cache
+def mask_words() -> np.ndarray:
+    """The two halves of all masks."""
+    return np.array(masks()).view(np.uint64).T
+
+
 def close_enough(wide: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Which of the pairs of rows come within the radius, some at a time."""
     parts = [np.bitwise_count(wide[a[k : k + 65536]] ^ wide[b[k : k + 65536]]).sum(axis=1, dtype=np.int64) <= radius for k in range(0, len(a), 65536)]
@@ -126,16 +135,18 @@ def close_enough(wide: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) ->
 
 def owned(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs agree on no mask before that of this bucket."""
-    x, y, nth = rows["f1"][a] ^ rows["f1"][b], rows["f2"][a] ^ rows["f2"][b], rows["nth"][a]
     out = np.ones(len(a), dtype=bool)
-    for j, (m, n) in enumerate(np.array(masks()).view(np.uint64)):
-        out &= (nth <= j) | ((x & m) != 0) | ((y & n) != 0)
+    m, n = mask_words()
+    for k in range(0, len(a), 4096):
+        c, d = a[k : k + 4096, None], b[k : k + 4096, None]
+        agree = (((rows["f1"][c] ^ rows["f1"][d]) & m) | ((rows["f2"][c] ^ rows["f2"][d]) & n)) == 0
+        out[k : k + 4096] = agree.argmax(axis=1) >= rows["nth"][c[:, 0]]
     return out
 
 
 def pairs_in_bucket(rows: dict[str, np.ndarray], radius: int, least: float, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places (a, b) within the radius, a before b in the order given, of different components if there is ``comp``: all
-    that this bucket owns and whose wide fingerprints come close too, or the nearest a of each b, and with ``comp`` the nearest b of each a. ``side``: 0 all against all, 1 against 2 where two tiles meet."""
+    whose wide fingerprints come close too, or the nearest a of each b, and with ``comp`` the nearest b of each a; of these those that this bucket owns. ``side``: 0 all against all, 1 against 2 where two tiles meet."""
     f1, f2, side, comp, set_size = (rows.get(c) for c in ("f1", "f2", "side", "comp", "set_size"))
     count, places = len(f1), np.arange(len(f1))
     low, best = np.full(count, 255, dtype=np.uint8), np.zeros(count, dtype=np.int64)
@@ -162,10 +173,13 @@ def pairs_in_bucket(rows: dict[str, np.ndarray], radius: int, least: float, near
             good = close_enough(rows["wide"], r, c, wide_radius(least))
             good[good] = owned(rows, r[good], c[good])
             found.append((r[good], c[good]))
-    if nearest:
-        b = np.flatnonzero(low < 255)
-        found.append((best[b], b))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    if not nearest:
+        return tuple(np.concatenate(x) for x in zip(*found))
+    b = np.flatnonzero(low < 255)
+    found.append((best[b], b))
+    a, b = divmod(np.unique(np.concatenate([x * count + y for x, y in found])), count)
+    own = owned(rows, a, b)
+    return a[own], b[own]
 
 
 def joining_links(a: np.ndarray, b: np.ndarray, comp: np.ndarray, sets: list[np.ndarray | None], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +259,7 @@ def met(rows: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame, radius: int = RADIUS, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
-    """Distinct (a, b), the nearest ones, from ``texts`` (node, f1, f2, set_size and, in the second pass, comp)."""
+    """(a, b), the nearest ones, each from one bucket, from ``texts`` (node, f1, f2, set_size and, in the second pass, comp)."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in whole_buckets(batches):
@@ -253,7 +267,7 @@ def candidates(texts: DataFrame, radius: int = RADIUS, least: float = SIMILAR, t
             if len(a):
                 yield pd.DataFrame({"a": rows["node"][a], "b": rows["node"][b]})
 
-    return met(in_buckets(texts, tile).drop("nth")).mapInPandas(compare, "a long, b long").distinct()
+    return met(in_buckets(texts, tile)).mapInPandas(compare, "a long, b long")
 
 
 def with_pairs(texts: DataFrame, radius: int = RADIUS, least: float = SIMILAR, tile: int = LAST_TILE) -> DataFrame:

@@ -132,3 +132,34 @@ def test_the_last_pass_alone(spark, monkeypatch):
         for i, r in enumerate(root):
             groups.setdefault(r, set()).add(i)
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_nearest_pairs_leave_one_bucket_each(spark):
+    """No pair is given out twice, no text with a candidate is left out, and the nearest candidate of all is given out."""
+    texts = edited_texts(30)
+    prints = np.unique(np.array([near_copies.fingerprint(t) for t in texts], dtype=np.int64), axis=0)
+    node, f1, f2, size = prints.T
+    bits = np.unpackbits(prints[:, 1:3].copy().view(np.uint8), axis=1).astype(int)
+    apart = (bits[:, None] != bits[None]).sum(axis=2)
+    near = (apart <= near_copies.RADIUS) & (size[:, None] >= 0.8 * size) & (size >= 0.8 * size[:, None]) & ~np.eye(len(node), dtype=bool)
+    shared = np.any([((f1[:, None] ^ f1) & m | (f2[:, None] ^ f2) & n) == 0 for m, n in near_copies.masks()], axis=0)
+    near &= shared
+    for comp in (None, np.arange(len(node))):
+        given = []
+        for nth, (m, n) in enumerate(near_copies.masks()):
+            for key in {(x, y) for x, y in zip(f1 & m, f2 & n)}:
+                at = np.flatnonzero((f1 & m == key[0]) & (f2 & n == key[1]))
+                rows = {"f1": f1[at].view(np.uint64), "f2": f2[at].view(np.uint64), "side": np.zeros(len(at), np.int8), "set_size": size[at], "nth": np.full(len(at), nth, np.int8)}
+                rows |= {} if comp is None else {"comp": comp[at]}
+                a, b = near_copies.pairs_in_bucket(rows, near_copies.RADIUS, 0.8, True)
+                given += zip(at[a].tolist(), at[b].tolist())
+        assert len(given) == len(set(given)) and all(near[a, b] and a < b for a, b in given)
+        for b in range(len(node)):
+            earlier = np.flatnonzero(near[:b, b])
+            if len(earlier):
+                assert (earlier[apart[earlier, b].argmin()], b) in given
+        if comp is not None:
+            assert {x for pair in given for x in pair} == set(np.flatnonzero(near.any(axis=0)).tolist())
+    rows = spark.createDataFrame([tuple(map(int, r)) for r in prints], "node long, f1 long, f2 long, set_size long")
+    pairs = near_copies.candidates(rows)
+    assert 0 < pairs.count() == pairs.distinct().count() < 6 * len(node)

@@ -45,6 +45,19 @@ def clustered(count, width):
     return x.astype(np.float32)
 
 
+def test_subtree_of_many_members(spark):
+    x = clustered(4300, 12)
+    members = spark.createDataFrame([(7, i) for i in range(len(x))], "collection_id long, document_id long")
+    got = vectors.subtree_edges(rows_of(spark, x), "id", "v", members, spark.createDataFrame([(7,)], "id long"), k=2, floor=0.3).collect()
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 6)
+    np.fill_diagonal(sims, -2)
+    best = np.argsort(-sims, axis=1, kind="stable")[:, :2]
+    expected = {(min(i, j), max(i, j)): sims[i, j] for i in range(len(x)) for j in map(int, best[i]) if sims[i, j] >= 0.3}
+    assert {(r["a"], r["b"]): r["weight"] for r in got} == pytest.approx(expected, abs=2e-6)
+
+
 def test_pruned_search_is_asked_for(spark):
     x = clustered(1500, 12)
     exact, pruned = (set(result(neighbours(rows_of(spark, x), "id", "v", 5, block=128, exact=e))) for e in (True, False))

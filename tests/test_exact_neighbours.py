@@ -34,7 +34,7 @@ def folder(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["knn_graph_edges", "graph_degree", "graph_hubs", "knn_related", "knn_topk", "passage_answers", "reading_paths", "suggest_name"])
+@pytest.mark.parametrize("name", ["knn_graph_edges", "graph_degree", "graph_hubs", "knn_related", "knn_topk", "passage_answers", "reading_paths", "suggest_both", "suggest_name"])
 def test_query_equals_its_sql(spark, folder, name):
     assert_same(queries.QUERIES[name](spark, folder), connection(folder), queries.ORACLE_SQL[name])
 

@@ -73,3 +73,17 @@ def test_products_tie_at_their_bounds(spark):
     for r in got.collect():
         by.setdefault(r["src"], set()).add((r["dst"], r["weight"]))
     assert by == {100: {(3, 1.0), (4, 1.0), (5, 1.0)}, 101: {(2, 1.0), (3, 1.0), (4, 1.0)}, 102: {(3, 0.3), (4, 0.3), (5, 0.3)}}
+
+
+def test_edges_are_found_once(spark):
+    """The rounds of label propagation read the edges; they don't find them again."""
+    found = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def weight(w):
+        found.add(1)
+        return w
+
+    pairs = [(i, i + 1, 0.5 + i % 3 / 10) for i in range(12)]
+    edges = spark.createDataFrame(pairs, "a long, b long, w double").select("a", "b", weight("w").alias("weight"))
+    assert vectors.communities(edges).count() == 13 and found.value == len(pairs)

@@ -5,15 +5,26 @@ Null texts stay null. Fences of three backticks or tildes end with one of their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblark.functions import text as T
 from biblark.functions.titles import let, trimmed
 from biblark.operators.notes import LINK, note_links
+from biblark.operators.storage import stored
 
 LEAST_NAME = 4
 LETTER = r"[\p{IsAlphabetic}\p{N}]"
+# Words of a name that find it; bits a name and probes of the filter over all names; characters hashed at once.
+GRAM, BITS, PROBES, CHARS = 3, 16, 4, 1 << 20
+BLANK = "".join(map(chr, [*range(9, 14), 32, 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+ASCII = {c: c + 32 for c in range(65, 91)}
 
 
 def fenced_lines(lines: Column) -> Column:
@@ -86,46 +97,141 @@ def title_set(body: Column, title: Column) -> Column:
     return F.when(body.isNotNull(), let(lines, placed))
 
 
-def words_of(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(T.ascii_lower(c), r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != ""))
-
-
-def named_in(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, names): for each text (id, slug, text) the pages (name, slug) other than its own whose every word it holds,
-    longest name first. A name goes only to the texts that hold its rarest word, so no text meets all names; its
-    further words are tested there. Names of less than four characters and without a letter or digit name nothing."""
-    words = texts.select("id", F.col("slug").alias("_own"), words_of(F.col("text")).alias("_words"))
-    held = words.select("id", "_own", "_words", F.explode("_words").alias("_word"))
-    pages = names.where(F.length("name") >= LEAST_NAME).groupBy("slug").agg(F.min("name").alias("name")).withColumn("_parts", words_of(F.col("name")))
-    parts = pages.select("slug", F.explode("_parts").alias("_word"))
-    often = held.groupBy("_word").agg(F.count("*").alias("_n"))
-    rarest = parts.join(often, "_word", "left").groupBy("slug").agg(F.min_by("_word", F.struct(F.coalesce("_n", F.lit(0)), "_word")).alias("_word"))
-    sought = pages.join(rarest, "slug")
-    met = held.join(sought, "_word").where((F.size(F.array_except("_parts", "_words")) == 0) & ~F.col("slug").eqNullSafe(F.col("_own")))
-    return met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("rank"), "name", "slug"))).alias("names"))
-
-
-def woven_names(text: Column, names: Column) -> Column:
+def letters(spark: SparkSession) -> str:
+    """LETTER as a pattern of Python, which has other tables of Unicode: all characters go through Spark's engine once."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    found = spark.createDataFrame([(every,)], "c string").select(F.regexp_replace("c", LETTER.replace("[", "[^", 1), "").alias("c")).first()["c"]
+    spans = ([c for _, c in run] for _, run in groupby(enumerate(map(ord, found)), lambda p: p[1] - p[0]))
+    return "[" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in spans) + "]"
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a * np.uint64(0x9E3779B97F4A7C15) ^ b) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+def grams(lines: list[str], word: re.Pattern) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For runs of one to ``GRAM`` words: the line in which each stands, in order, and its hash."""
+    words = [word.findall(line.translate(ASCII)) for line in lines]
+    line = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    codes, distinct = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
+    each = pd.util.hash_array(distinct, categorize=False)[codes] if len(codes) else np.array([], dtype=np.uint64)
+    found, key = [(line, each)], each
+    for n in range(1, GRAM):
+        key = mixed(key[:-1], each[n:])
+        inside = line[: len(key)] == line[n:]
+        found.append((line[: len(key)][inside], key[inside]))
+    return found
+
+
+def bits_at(keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    for p in range(PROBES):
+        yield mixed(keys, np.full(len(keys), p, dtype=np.uint64)) & np.uint64(size - 1)
+
+
+def named_in(texts: DataFrame, names: DataFrame, letter: str) -> DataFrame:
+    """(id, names): for each text (id, text) the pages (name, slug) whose words, the first ``GRAM`` at least, stand side by side
+    in one of its lines, longest name first. Names and runs of words meet by their hash, and
+    only runs that a filter over all names lets pass are dealt out, so a text gives out little more than what it names.
+    Names of less than four characters and without a letter or digit name nothing."""
+    pages = names.where((F.length("name") >= LEAST_NAME) & F.col("slug").isNotNull()).groupBy("slug").agg(F.min("name").alias("name"))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        word = re.compile(letter + "+")
+        for rows in batches:
+            own = np.zeros(len(rows), dtype=np.uint64)
+            some = np.zeros(len(rows), dtype=bool)
+            for line, key in grams([n.replace("\n", " ") for n in rows["name"]], word):
+                first, at = np.unique(line, return_index=True)
+                own[first], some[first] = key[at], True
+            yield rows.assign(key=own.view(np.int64))[some]
+
+    pages = stored(pages.mapInPandas(keyed, "slug string, name string, key long"), "names")
+    keys = pages.select("key").distinct().toArrow()["key"].to_numpy().view(np.uint64)
+    size = 1 << max(10, (len(keys) * BITS - 1).bit_length())
+    known = np.zeros(size, dtype=bool)
+    for at in bits_at(keys, size):
+        known[at] = True
+    filter_ = texts.sparkSession.sparkContext.broadcast((size, np.packbits(known)))  # two to four bytes a name
+
+    def given(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        word = re.compile(letter + "+")
+        size, packed = filter_.value
+        for rows in batches:
+            ends = np.cumsum(rows["text"].str.len().to_numpy()) // CHARS
+            for _, part in rows.groupby(ends):
+                ids, lines = [], []
+                for i, text in zip(part["id"], part["text"]):
+                    cut = text.split("\n")
+                    ids += [i] * len(cut)
+                    lines += cut
+                ids = np.array(ids)
+                out = []
+                for line, key in grams(lines, word):
+                    good = np.ones(len(key), dtype=bool)
+                    for at in bits_at(key, size):
+                        good &= (packed[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+                    out.append(pd.DataFrame({"id": ids[line[good]], "key": key[good].view(np.int64)}))
+                yield pd.concat(out).drop_duplicates()
+
+    id_ = texts.schema["id"].dataType.simpleString()
+    held = texts.where("text is not null and id is not null").select("id", "text").mapInPandas(given, f"id {id_}, key long").join(pages, "key").select("id", "slug", "name")
+    return held.groupBy("id").agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("rank"), "name", "slug"))).alias("names"))
+
+
+def fences(lines: list[str]) -> list[bool]:
+    """As ``fenced_lines``: whether each line is outside of fences and no fence itself."""
+    fence, free = "", []
+    for line in lines:
+        begins = line.lstrip(BLANK)
+        mark = begins[:1] if begins.startswith(("```", "~~~")) else ""
+        turns = mark != "" and fence in ("", mark)
+        free.append(not turns and fence == "")
+        fence = fence if not turns else mark if fence == "" else ""
+    return free
+
+
+def woven(text: str, names: list[str], slugs: list[str], letter: re.Pattern) -> str:
+    lines = text.split("\n")
+    outside = fences(lines)
+    linked = [line for line, ok in zip(lines, outside) if ok and "](#wiki-" in line]
+    free = [(k, line.translate(ASCII)) for k, (line, ok) in enumerate(zip(lines, outside)) if ok and not line.lstrip(" ").startswith("#") and "[" not in line]
+    for name, slug in zip(names, slugs):
+        if not free:
+            break
+        target = f"](#wiki-{slug})"
+        if any(target in line for line in linked):
+            continue
+        sought, long = name.translate(ASCII), len(name)
+        for n, (k, line) in enumerate(free):
+            at = line.find(sought)
+            while at >= 0 and (at and letter.match(line, at - 1) or letter.match(line, at + long)):
+                at = line.find(sought, at + 1)
+            if at >= 0:
+                lines[k] = f"{lines[k][:at]}[{lines[k][at:at + long]}{target}{lines[k][at + long:]}"
+                del free[n]
+                break
+    return "\n".join(lines)
+
+
+def woven_names(text: Column, names: Column, letter: str) -> Column:
     """``text`` with the first place of each name, as whole words and without regard to ASCII case, as a link to
     ``#wiki-slug``. Headings, fences and lines with a bracket stay as they are, so a line gets one link, and a name that
     is linked somewhere gets no second one: weaving again changes nothing."""
 
-    def step(lines: Column, page: Column) -> Column:
-        literal = F.concat(F.lit(r"\Q"), F.replace(page["name"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        pattern = F.concat(F.lit(rf"(?is)^(.*?)(?<!{LETTER})("), literal, F.lit(rf")(?!{LETTER})(.*)\z"))
-        link = F.concat(F.lit("$1[$2](#wiki-"), page["slug"], F.lit(")$3"))
-        there = F.exists(lines, lambda l: l["open"] & F.contains(l["line"], F.concat(F.lit("](#wiki-"), page["slug"], F.lit(")"))))
-        free = lambda l: l["open"] & ~F.ltrim(l["line"]).startswith("#") & ~l["line"].contains("[")
-        at = F.array_position(F.transform(lines, lambda l: free(l) & F.rlike(l["line"], pattern)), F.lit(True))
-        changed = lambda k: F.transform(lines, lambda l, i: F.struct(F.when(i + 1 == k, F.regexp_replace(l["line"], pattern, link)).otherwise(l["line"]).alias("line"), l["open"].alias("open")))
-        return F.when(there, lines).otherwise(let(at, lambda k: F.when(k == 0, lines).otherwise(changed(k))))
+    @F.pandas_udf("string")
+    def one(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        one_letter = re.compile(letter)
+        for texts, called, slugs in batches:
+            yield pd.Series([t if t is None or n is None else woven(t, n, s, one_letter) for t, n, s in zip(texts, called, slugs)], dtype=object)
 
-    return F.array_join(F.transform(F.aggregate(names, fenced_lines(F.split(text, "\n", -1)), step), lambda l: l["line"]), "\n")
+    return one(text, F.transform(names, lambda n: n["name"]), F.transform(names, lambda n: n["slug"]))
 
 
 def weave_pages(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(id, text) of every text (id, slug, text) with the pages (name, slug) that it names linked; of names with one slug the
     smallest stands for the page. Slugs are letters, digits and hyphens."""
-    found = named_in(texts, names)
-    woven = F.when(F.col("names").isNull(), F.col("text")).otherwise(woven_names(F.col("text"), F.col("names")))
-    return texts.join(found, "id", "left").select("id", woven.alias("text"))
+    letter = letters(texts.sparkSession)
+    found = named_in(texts, names, letter)
+    others = F.filter("names", lambda n: ~n["slug"].eqNullSafe(F.col("slug")))
+    return texts.join(found, "id", "left").select("id", woven_names(F.col("text"), others, letter).alias("text"))

@@ -8,7 +8,7 @@ from biblark import queries
 from biblark.operators import layout
 from tests.oracle import assert_same, connection
 
-@pytest.mark.parametrize("name", ["layout_lines"])
+@pytest.mark.parametrize("name", ["layout_lines", "layout_words"])
 def test_no_word_is_shuffled(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
@@ -20,7 +20,7 @@ def as_table(spark, at, rows):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["layout_lines"])
+@pytest.mark.parametrize("name", ["layout_lines", "layout_words"])
 def test_odd_texts_equal_sql(spark, tmp_path, name):
     """Blank, empty and null texts, long ones, marks of Markdown, characters of all widths. The SQL of characters has a row without region for an empty text."""
     long = " ".join(f"w{i}*" for i in range(400))
